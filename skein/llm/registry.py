@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, quality, secrets
+from . import langid, mixing, packing, quality, secrets
 from .text import table
 
 QUERIES = {
+    "op5_length_buckets": packing.result,
+    "op7_water_filling": mixing.result,
     "op8_langid_bitmask": lambda spark, d: langid.predicted(table(spark, d, "documents")),
     "op9_quality_crf": lambda spark, d: quality.result(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_secret_layers": lambda spark, d: secrets.scanned(table(spark, d, "documents").select("doc_id", "text")).drop("text"),
