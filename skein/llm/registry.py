@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, secrets
+from . import langid, mixing, packing, quality, secrets, urls
 from .text import table
 
 QUERIES = {
+    "op2_host_trust": urls.result,
     "op5_length_buckets": packing.result,
     "op7_water_filling": mixing.result,
     "op8_langid_bitmask": lambda spark, d: langid.predicted(table(spark, d, "documents")),
