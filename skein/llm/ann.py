@@ -152,7 +152,7 @@ def usable(vector: str, dim: int) -> Column:
     return F.coalesce((F.size(c) == dim) & F.forall(c, finite) & F.exists(c, lambda v: v != 0), F.lit(False))
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, books: int = 12, words: int = 256, beam: int = 3, sample: int = 8192, depth: int = 96, query_block: int = 4096, block: int = 8192, seed: int = 7) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, books: int = 20, words: int = 256, beam: int = 2, sample: int = 8192, depth: int = 192, query_block: int = 4096, block: int = 8192, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query's ``k`` nearest rows of ``rows`` (vec_id, embedding) but itself.
 
     Rows with a null id take no part, nor do vectors that are null, zero, of
