@@ -177,7 +177,8 @@ def train(sequences: list[tuple[np.ndarray, int]], piece: int = 32, rounds: int
 def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, seed: int = 5) -> Crf | None:
     """Trains on about ``max_docs`` labelled documents (half of each quality, if there are as many), drawn by a hash of doc_id.
 
-    Rows with a null text, id or label are no examples.  None if a quality is missing.
+    The drawn ids are broadcast: they are ``max_docs`` and a few, whatever the
+    tables hold.  Rows with a null text, id or label are no examples.  None if a quality is missing.
     """
     bounded_batches(docs.sparkSession)
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -185,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, seed: int =
     if len(n) < 2:
         return None
     share = F.when(F.col("quality") == 1, fraction_of(n[1], max_docs // 2)).otherwise(fraction_of(n[0], max_docs // 2))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(marked.where(drawn(share, F.col("doc_id"), seed=seed)), "doc_id").select("doc_id", "text", "quality")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(marked.where(drawn(share, F.col("doc_id"), seed=seed))), "doc_id").select("doc_id", "text", "quality")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
