@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, fixity, langid, mixing, packing, quality, secrets, urls
+from . import ann, fixity, langid, linededup, mixing, packing, quality, secrets, urls
 from .text import table
 
 QUERIES = {
+    "op1_line_suffix_array": linededup.result,
     "op2_host_trust": urls.result,
     "op4_merkle_audit": fixity.result,
     "op5_length_buckets": packing.result,
@@ -16,5 +17,6 @@ QUERIES = {
     "op10_secret_layers": lambda spark, d: secrets.scanned(table(spark, d, "documents").select("doc_id", "text")).drop("text"),
 }
 ORACLES = {
+    "op1_line_suffix_array": linededup.ORACLE,
     "op4_merkle_audit": fixity.ORACLE,
 }
