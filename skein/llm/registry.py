@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, fixity, langid, linededup, mixing, packing, quality, secrets, urls
+from . import ann, fixity, langid, linededup, mixing, neardup, packing, quality, secrets, urls
 from .text import table
 
 QUERIES = {
     "op1_line_suffix_array": linededup.result,
     "op2_host_trust": urls.result,
+    "op3_order_minhash": neardup.result,
     "op4_merkle_audit": fixity.result,
     "op5_length_buckets": packing.result,
     "op6_additive_quantisation": ann.result,
