@@ -17,8 +17,9 @@ found at the next level: every member is sketched again by the shingles in
 which it differs from the leader, added or missing.  Two texts that are
 similar to each other differ from the leader in much the same way, so they
 meet there, and the texts of a large group that merely surround the same
-leader do not.  Levels go on until no bucket with more than ``small`` texts is
-left, ``levels`` at most.
+leader do not.  At the last of ``levels`` a large bucket compares with its
+leader alone: a link there between two texts neither of which is linked to the
+leader, or to another of its texts, can be lost (see the README for figures).
 """
 
 from __future__ import annotations
@@ -149,8 +150,13 @@ def sketched(docs: DataFrame, entries: int) -> DataFrame:
     return written(rows.select("doc_id", "node", "s.n", "s.keys", "s.seq"), "neardup-sketches")
 
 
-def links(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: int = 24, levels: int = 6) -> DataFrame:
-    """(a, b) nodes of different texts that are linked, each pair once."""
+def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: int = 24, levels: int = 2) -> DataFrame:
+    """(node, label) of the texts that are linked to others: the smallest node of each class.
+
+    After each level the classes so far are known.  Two texts of one class
+    need no comparison any more, so a bucket that holds one class is left
+    out; this changes no class.
+    """
     spark = sketches.sparkSession
     bounded_batches(spark)
     one = written(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "neardup-nodes")
@@ -172,21 +178,27 @@ def links(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: int
                 out.append((a, b, aligned(p, q, least) > 0, len(q), again))
             yield pd.DataFrame(out, columns=["a", "b", "linked", "n", "again"])
 
-    found: DataFrame | None = None
+    known: DataFrame | None = None
     done: DataFrame | None = None
     for level in range(levels):
         rows = written(entry.select("key", "node", "n").distinct() if level else entry.select("key", "node", "n"), "neardup-keys")
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        held = written(rows.join(counts, "key"), "neardup-buckets")
+        if known is not None:
+            of = rows.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        else:
+            of = rows.withColumn("label", F.col("node"))
+        counts = of.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "size")
+        held = written(of.join(counts, "key"), "neardup-buckets")
         few, many = held.where(F.col("size") <= small), held.where(F.col("size") > small)
-        left, right = few.select("key", F.col("node").alias("a"), F.col("n").alias("na")), few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
+        left, right = few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
         near = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
-        pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b", F.lit(False).alias("star"))
+        pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b", F.lit(False).alias("star"))
         # the most central text of each large bucket
         support = many.groupBy("node").agg(F.sum("size").alias("support"))
         placed = many.join(support, "node")
-        leader = placed.groupBy("key").agg(F.max(F.struct("support", "node"))["node"].alias("lead"))
-        stars = many.join(leader, "key").where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b"), F.lit(True).alias("star"))
+        leader = placed.groupBy("key").agg(F.max(F.struct("support", "node", "label")).alias("top")).select("key", F.col("top.node").alias("lead"), F.col("top.label").alias("la"))
+        # at first every member is sketched against its leader, later only those of other classes
+        apart = F.col("lead") != F.col("node") if not level else F.col("la") != F.col("label")
+        stars = many.join(leader, "key").where(apart).select(F.col("lead").alias("a"), F.col("node").alias("b"), F.lit(True).alias("star"))
         pairs = pairs.unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -198,13 +210,16 @@ def links(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: int
         both = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
         judged = written(both.select("a", "b", "star", "seq_a", "seq_b").mapInPandas(judge, "a binary, b binary, linked boolean, n int, again array<long>"), "neardup-judged")
         dropped(rows, held, seqs)
-        linked = judged.where("linked").select("a", "b")
-        found = linked if found is None else found.unionByName(linked)
+        # a class so far is a star around its smallest node
+        edges = judged.where("linked").select("a", "b")
+        known, old = components(edges if known is None else edges.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b")))), known
+        if old is not None:
+            dropped(old)
         done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
         entry = judged.where(F.size("again") > 0).select(F.col("b").alias("node"), "n", F.explode("again").alias("key"))
         if entry.isEmpty():
             break
-    return found
+    return known
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -230,7 +245,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def _labelled(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with ``_nd_label`` (the class; null for a null text) and ``class_id``."""
     sketches = sketched(docs.select("doc_id", "text"), how.get("entries", 24))
-    label = components(links(sketches, **how))
+    label = labels(sketches, **how)
     node = sketches.groupBy("node").agg(F.min("doc_id").alias("m"))
     node = written(node.join(label, "node", "left").select("node", "m", F.coalesce("label", "node").alias("label")), "neardup-labels")
     dropped(sketches)
