@@ -58,7 +58,9 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
         c[full] = np.add.reduceat(x[order], (ends - n)[full], axis=0) / n[full, None]
         lost = np.flatnonzero(n == 0)
         if len(lost):
-            c[lost] = x[np.argsort(-d[np.arange(len(x)), near], kind="stable")[: len(lost)]]
+            apart = d[np.arange(len(x)), near] + (x * x).sum(1)
+            far = np.argsort(-apart, kind="stable")[: len(lost)]
+            c[lost[: len(far)]] = x[far]
     return c
 
 
@@ -174,7 +176,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, books: int = 20, word
     if not len(got):
         got = rows.select("vec_id", "x").limit(sample).toArrow().to_pandas()
     got = got.sort_values("vec_id")
-    model = spark.sparkContext.broadcast(learn(np.stack(got["x"]).astype(np.float32), books, words, seed=seed))
+    model = spark.sparkContext.broadcast(learn(np.unique(np.stack(got["x"]).astype(np.float32), axis=0), books, words, seed=seed))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
