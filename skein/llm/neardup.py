@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..scratch import dropped, written
 from .text import bounded_batches, table
 
-SHINGLE, K, K_DIFFERENCE = 5, 3, 2
+SHINGLE, K, K_DIFFERENCE = 5, 4, 2
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -150,7 +150,7 @@ def sketched(docs: DataFrame, entries: int) -> DataFrame:
     return written(rows.select("doc_id", "node", "s.n", "s.keys", "s.seq"), "neardup-sketches")
 
 
-def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: int = 24, levels: int = 2) -> DataFrame:
+def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: int = 16, levels: int = 2) -> DataFrame:
     """(node, label) of the texts that are linked to others: the smallest node of each class.
 
     After each level the classes so far are known.  Two texts of one class
