@@ -127,7 +127,8 @@ def deduped(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WO
     gone = runs(windows(docs.select("doc_id", "text"), min_lines, min_words)).withColumnsRenamed({"doc_id": "_ld_i", "digest": "_ld_t"})
     gone = written(gone, "lines-runs")
     rows = docs.select(*kept).withColumn("_ld_d", _digest(F.col("text")))
-    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_ld_i")) & (F.col("_ld_d") == F.col("_ld_t")), "left")
+    # the runs grow with the corpus, so the join is planned for that at every size
+    out = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_ld_i")) & (F.col("_ld_d") == F.col("_ld_t")), "left")
     flags = F.aggregate("runs", F.array().cast("array<int>"), lambda a, r: F.concat(a, F.sequence(r["first"], r["last"])))
     doomed = F.when(F.col("runs").isNotNull(), flags)
     out = out.withColumn("_ld_g", doomed)
