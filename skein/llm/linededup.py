@@ -142,8 +142,10 @@ def result(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of long runs of lines; every document stays, with what is left of it."""
-    return deduped(docs).select(*docs.columns)
+    """Deletes later copies of long runs of lines; every document stays, with what is left of it (n_chars follows)."""
+    out = deduped(docs)
+    fresh = F.when(F.col("lines_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars")
+    return out.select(*[fresh if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 #: The same without a suffix array: every prefix that is long enough, compared as text.

@@ -102,7 +102,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken; of a part taken, the first words joined by blanks."""
+    """The mix itself: each document as often as it is taken; of a part taken, the first words joined by blanks (n_chars follows)."""
     columns = docs.columns
     out = mixed(docs.select(*columns), **how)
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
@@ -110,7 +110,9 @@ def repeated(docs: DataFrame, **how) -> DataFrame:
     out = out.withColumn("_mix_part", part).withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
     cut = (F.col("_mix_part") > 0) & (F.col("_mix_copy") == F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1))) + 1)
     text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_mix_part").cast("int")), " ")).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*columns)
+    out = out.withColumns({"text": text, "_mix_cut": cut})
+    fresh = F.when(F.col("_mix_cut"), F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars") if "n_chars" in columns else None
+    return out.select(*[fresh if c == "n_chars" else F.col(c) for c in columns])
 
 
 def result(spark, sf_dir: str) -> DataFrame:
