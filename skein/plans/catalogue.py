@@ -429,7 +429,7 @@ def recall_by_nprobe(spark, d):
 
 
 # Published operating points (system, dataset, recall, qps).
-POINTS = (("pim", "SIFT1B", 62.0, 34197.78), ("cpu", "SIFT1B", 62.0, 4820.95), ("gpu", "SIFT1B", 62.0, 2387.0), ("pim", "SIFT1B", 90.0, 3157.89), ("cpu", "SIFT1B", 90.0, 1231.37), ("gpu", "SIFT1B", 90.0, 2311.0))
+POINTS = (("accelerator", "SIFT1B", 62.0, 34197.78), ("cpu", "SIFT1B", 62.0, 4820.95), ("gpu", "SIFT1B", 62.0, 2387.0), ("accelerator", "SIFT1B", 90.0, 3157.89), ("cpu", "SIFT1B", 90.0, 1231.37), ("gpu", "SIFT1B", 90.0, 2311.0))
 _POINTS = "points(system, dataset, recall, qps) AS (VALUES " + ", ".join(f"('{s}', '{d}', {r}::DOUBLE, {q}::DOUBLE)" for s, d, r, q in POINTS) + ")"
 
 
@@ -440,10 +440,10 @@ def operating_point_lookup(spark, d):
     return evaluate.operating_points(points, spark.createDataFrame([(60.0,), (80.0,), (95.0,)], "tick double"), ["system"])
 
 
-@query(f"""WITH {_POINTS} SELECT a.dataset, a.recall AS tick, a.system AS other, {_fix('b.qps / a.qps')} AS speedup FROM points a JOIN points b ON a.dataset = b.dataset AND a.recall = b.recall AND b.system = 'pim' WHERE a.system <> 'pim'""")
+@query(f"""WITH {_POINTS} SELECT a.dataset, a.recall AS tick, a.system AS other, {_fix('b.qps / a.qps')} AS speedup FROM points a JOIN points b ON a.dataset = b.dataset AND a.recall = b.recall AND b.system = 'accelerator' WHERE a.system <> 'accelerator'""")
 def speedup_table(spark, d):
     points = spark.createDataFrame(list(POINTS), "system string, dataset string, tick double, qps double")
-    return evaluate.speedups(points, "pim").select("dataset", "tick", "other", _r("speedup"))
+    return evaluate.speedups(points, "accelerator").select("dataset", "tick", "other", _r("speedup"))
 
 
 # --- sequential or seeded operators
