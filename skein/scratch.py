@@ -7,6 +7,8 @@ cached or locally checkpointed one.
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -15,12 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _own(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="skein-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of this process where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a folder of this process, in local mode only (tests)."""
     base = spark.conf.get(_KEY, None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set(_KEY, base)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
+        base = _own(context.applicationId)
     return base.rstrip("/")
 
 

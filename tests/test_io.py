@@ -134,3 +134,25 @@ def test_running_top(spark, tmp_path):
         got = []
         q.foreachBatch(lambda df, n, got=got: got.extend(map(tuple, df.collect()))).start().awaitTermination()
     assert sorted(got) == [(0, 1, 3, 0.5), (0, 2, 2, 1.0), (1, 1, 9, 1.0)]
+
+
+def test_shared_folder_is_the_sessions(spark):
+    from skein import scratch
+
+    assert scratch.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    t = scratch.written(spark.range(5).toDF("id"), "t")
+    assert t.count() == 5 and t._skein_path.startswith(scratch.shared_dir(spark))
+    scratch.dropped(t, spark.range(1))
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "skein", tmp_path / "skein", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') and q[2].isdigit() for q in e.queries()))"], cwd=tmp_path, env={"PATH": "/usr/bin"}, capture_output=True, text=True)
+    assert said.stdout.split()[1:] == ["False"], said.stderr
