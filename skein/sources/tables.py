@@ -55,7 +55,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, fields: Mapping[str, str], block: str | None = None) -> DataFrame:
     """A row for each log (or for each part that begins where ``block`` matches), a double column for each pattern's first group; null without a match."""
-    text = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     if block:
         text = text.select("file", F.posexplode(F.split("value", f"(?={block})")).alias("part", "value")).where(F.col("value").rlike(block))
     else:
