@@ -30,13 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import dropped, written
 from .text import bounded_batches, table
 
-SHINGLE, K, K_DIFFERENCE = 5, 4, 2
+SHINGLE, K, K_DIFFERENCE, LEADERS = 5, 4, 2, 2
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -195,17 +195,20 @@ def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: in
         # the most central text of each large bucket
         support = many.groupBy("node").agg(F.sum("size").alias("support"))
         placed = many.join(support, "node")
-        leader = placed.groupBy("key").agg(F.max(F.struct("support", "node", "label")).alias("top")).select("key", F.col("top.node").alias("lead"), F.col("top.label").alias("la"))
+        leader = placed.groupBy("key").agg(F.max(F.struct("support", "node", "label")).alias("top")).select("key", F.col("top.support").alias("support"), F.col("top.node").alias("lead"), F.col("top.label").alias("la"))
         # at first every member is sketched against its leader, later only those of other classes
         apart = F.col("lead") != F.col("node") if not level else F.col("la") != F.col("label")
-        stars = many.join(leader, "key").where(apart).select(F.col("lead").alias("a"), F.col("node").alias("b"), F.lit(True).alias("star"))
+        stars = many.join(leader, "key").where(apart).groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.max("support").alias("support"))
+        # a text is sketched again against its two most central leaders
+        best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("support"), "a"))
+        stars = stars.select("a", "b", (best <= LEADERS).alias("star"))
         pairs = pairs.unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs, "neardup-pairs")
         # only the sequences that take part are carried on
         needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(one, "node")
-        seqs = sketches.alias("s").join(needed.alias("o"), own, "left_semi").select("node", "seq")
+        seqs = _likely(sketches, needed).alias("s").join(needed.alias("o"), own, "left_semi").select("node", "seq")
         seqs = written(seqs.dropDuplicates(["node"]), "neardup-sequences")
         both = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
         judged = written(both.select("a", "b", "star", "seq_a", "seq_b").mapInPandas(judge, "a binary, b binary, linked boolean, n int, again array<long>"), "neardup-judged")
@@ -222,6 +225,20 @@ def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: in
     return known
 
 
+def _likely(sketches: DataFrame, needed: DataFrame, bits: int = 24) -> DataFrame:
+    """The sketches whose node may be among ``needed``: all that are, and a few others.
+
+    A bitmap of fixed size (at most 2**bits bits, in rows of 64) is broadcast,
+    so that sequences that take no part aren't shuffled.
+    """
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
+    word: Column = F.shiftright(place, 6).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << bits}L) % 64 as int))")
+    rows = needed.select(word.alias("_nd_word"), bit.alias("_nd_bit")).groupBy("_nd_word").agg(F.bit_or("_nd_bit").alias("_nd_bits"))
+    at = sketches.withColumns({"_nd_w": word, "_nd_b": bit})
+    return at.join(F.broadcast(rows), (F.col("_nd_w") == F.col("_nd_word")) & (F.col("_nd_b").bitwiseAND(F.col("_nd_bits")) != 0)).select(*sketches.columns)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node of each connected component of edges (a, b)."""
     two = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "components-edges")
