@@ -183,7 +183,9 @@ def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: in
     for level in range(levels):
         rows = written(entry.select("key", "node", "n").distinct() if level else entry.select("key", "node", "n"), "neardup-keys")
         if known is not None:
-            of = rows.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            # a key of one text can't bring any together
+            shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+            of = rows.join(shared, "key", "left_semi").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
         else:
             of = rows.withColumn("label", F.col("node"))
         counts = of.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "size")
