@@ -14,9 +14,10 @@ interval of that depth.  Each suffix needs one depth only: that of the
 shortest prefix that is long enough, at most ``min_lines``, which is where
 doubling ends.  Two overlapping ranks name that prefix exactly, and the
 suffixes that share the name are its interval; all but the first are later
-copies.  Every maximal repeated run that is long enough is the union of such
-prefixes, so the deletion is the same as with the maximal runs themselves,
-which :func:`runs` returns.
+copies.  The union of such prefixes is what the query and its SQL delete.  A
+maximal repeated run goes further: after the last prefix that is long enough
+it has up to ``min_lines`` - 1 lines with words, and blank ones, which
+:func:`tails` adds.  The pipeline's stage deletes the maximal runs.
 
 Pairs are ranked as distinct keys, aggregated before they are shuffled, so a
 line that fills a third of the corpus is one key in the sort.  Positions find
@@ -25,11 +26,15 @@ their ranks by a join that adaptive execution can split.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import dropped, written
-from .text import table, word_count
+from .text import bounded_batches, table, word_count
 
 MIN_LINES, MIN_WORDS = 4, 50
 
@@ -55,8 +60,11 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.hex("digest").alias("t"), F.col("pos").alias("p"))
 
 
-def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, digest, pos, size): prefixes of suffixes that are long enough and copies of an earlier place."""
+def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
+    """(doc_id, digest, pos, size): prefixes of suffixes that are long enough and copies of an earlier place.
+
+    With ``maximal``, they cover the maximal repeated runs; else the shortest prefixes only.
+    """
     every = written(lines_of(docs).distinct(), "lines-all")
     twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     ranks = written(_ranked(twice, ["key"]), "lines-rank")
@@ -90,14 +98,74 @@ def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WO
         second = F.when(F.col("size") == n, ahead(f"rank{k}", shift) if shift else F.lit(-1).cast("long")).otherwise(second)
     named = at_size.withColumns({"a": first, "b": second}).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     named = written(named.select("doc_id", "digest", "pos", "size", "a", "b"), "lines-named")
-    dropped(at)
+    if not maximal:
+        dropped(at)
     # the interval's first suffix is the smallest place; places are compared, never gathered
     best = named.groupBy("size", "a", "b").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "a", "b", "first")
-    later = written(named.join(best, ["size", "a", "b"]).where(_place() > F.col("first")).select("doc_id", "digest", "pos", "size"), "lines-later")
+    later = written(named.join(best, ["size", "a", "b"]).where(_place() > F.col("first")).select("doc_id", "digest", "pos", "size", *(["a", "b"] if maximal else [])), "lines-later")
+    if maximal:
+        longer = tails(at, named, later, min_lines)
+        dropped(at)
+        later = later.select("doc_id", "digest", "pos", "size").unionByName(longer)
     dropped(named)
     return later
 
 
+def tails(at: DataFrame, named: DataFrame, later: DataFrame, min_lines: int) -> DataFrame:
+    """(doc_id, digest, pos, size): the windows of ``later`` that end short of their maximal run, with what follows.
+
+    A window whose next line begins a window of its own needs no more: that
+    one reaches as far.  Of what follows another, ``min_lines`` - 1 lines with
+    words and the blank ones among them and before the next are enough: if the
+    run goes further, a line of them begins a window.  The first lines of each
+    length are compared between the places that share the window.
+    """
+    bounded_batches(at.sparkSession)
+    doc = Window.partitionBy("doc_id", "digest").orderBy("pos")
+    open_ = written(later.withColumn("open", F.coalesce(F.lead("pos").over(doc) != F.col("pos") + 1, F.lit(True))).where("open"), "lines-open")
+    names = open_.select("size", "a", "b").distinct()
+    # every place of such a window, earlier ones too
+    places = named.join(names, ["size", "a", "b"], "left_semi").select("doc_id", "digest", "pos", "size", "a", "b", F.lit(0).alias("open"))
+    flags = places.unionByName(open_.select("doc_id", "digest", "pos", "size", "a", "b", F.lit(1).alias("open")))
+    lines = at.select("doc_id", "digest", "pos", F.col("rank0").alias("rank"), (F.col("words") > 0).cast("int").alias("solid"))
+    rows = lines.unionByName(flags, allowMissingColumns=True).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("pos", "rank", "solid")).alias("l"), F.collect_list(F.when(F.col("size").isNotNull(), F.struct("pos", "size", "a", "b", "open"))).alias("w"))
+    rows = rows.where(F.size("w") > 0).select("doc_id", "digest", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("pos", "rank", "solid")], *[F.col(f"w.{c}").alias(f"w_{c}") for c in ("pos", "size", "a", "b", "open")])
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "digest", "pos", "size", "a", "b", "open", "more", "name"]
+        for df in batches:
+            out = []
+            for r in df.itertuples(index=False):
+                line = {int(p): (int(k), int(s)) for p, k, s in zip(r.l_pos, r.l_rank, r.l_solid, strict=True) if k == k and k is not None}
+                places: dict[int, tuple[int, int, int, int]] = {}
+                for p, size, a, b, is_open in zip(r.w_pos, r.w_size, r.w_a, r.w_b, r.w_open, strict=True):
+                    old = places.get(int(p))
+                    places[int(p)] = (int(size), int(a), int(b), max(int(is_open), old[3] if old else 0))
+                for p, (size, a, b, is_open) in places.items():
+                    h, solid, i = hashlib.md5(), 0, p + size
+                    while i in line:
+                        rank, s = line[i]
+                        solid += s
+                        if solid >= min_lines and s:
+                            break
+                        h.update(rank.to_bytes(8, "little"))
+                        i += 1
+                        out.append((r.key, r.digest, p, size, a, b, is_open, i - p - size, h.digest()))
+            yield pd.DataFrame(out, columns=columns)
+
+    # ids travel as text, since pandas would make those of a batch with nulls floats
+    kind = at.schema["doc_id"].dataType
+    rows = rows.select(F.col("doc_id").cast("string").alias("key"), "digest", *[c for c in rows.columns if c not in ("doc_id", "digest")])
+    steps = rows.mapInPandas(follow, "key string, digest binary, pos int, size int, a long, b long, open int, more int, name binary")
+    steps = written(steps.select(F.col("key").cast(kind).alias("doc_id"), "digest", "pos", "size", "a", "b", "open", "more", "name"), "lines-tails")
+    by = ["size", "a", "b", "more", "name"]
+    best = steps.groupBy(*by).agg(F.min(_place()).alias("first"), F.max("open").alias("any")).where("any = 1").select(*by, "first")
+    found = steps.where("open = 1").join(best, by).where(_place() > F.col("first")).groupBy("doc_id", "digest", "pos", "size").agg(F.max("more").alias("more"))
+    found = written(found.select("doc_id", "digest", "pos", (F.col("size") + F.col("more")).alias("size")), "lines-longer")
+    dropped(steps, open_)
+    return found
+
+
 def runs(later: DataFrame) -> DataFrame:
     """(doc_id, digest, runs): each document's maximal deleted runs as an ascending array of struct<first, last>."""
     span = F.array_sort(F.collect_list(F.struct(F.col("pos").alias("first"), (F.col("pos") + F.col("size") - 1).alias("last"))))
@@ -116,15 +184,17 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, empty, add)
 
 
-def deduped(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def deduped(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
     """``docs`` with ``text`` without its later copies, and ``lines_deleted`` (int).
 
     A null or empty text stays as it is.  Rows equal in doc_id and text are
     one document and get the same text.  A text all of whose lines are deleted
-    becomes empty.  Columns of the new names are replaced.
+    becomes empty.  With ``maximal``, whole maximal runs are deleted, else
+    what is long enough from each of their lines on.  Columns of the new names
+    are replaced.
     """
     kept = [c for c in docs.columns if c != "lines_deleted"]
-    gone = runs(windows(docs.select("doc_id", "text"), min_lines, min_words)).withColumnsRenamed({"doc_id": "_ld_i", "digest": "_ld_t"})
+    gone = runs(windows(docs.select("doc_id", "text"), min_lines, min_words, maximal)).withColumnsRenamed({"doc_id": "_ld_i", "digest": "_ld_t"})
     gone = written(gone, "lines-runs")
     rows = docs.select(*kept).withColumn("_ld_d", _digest(F.col("text")))
     # the runs grow with the corpus, so the join is planned for that at every size
@@ -142,8 +212,8 @@ def result(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of long runs of lines; every document stays, with what is left of it (n_chars follows)."""
-    out = deduped(docs)
+    """Deletes later copies of maximal long runs of lines; every document stays, with what is left of it (n_chars follows)."""
+    out = deduped(docs, maximal=True)
     fresh = F.when(F.col("lines_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars")
     return out.select(*[fresh if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -74,6 +74,45 @@ def test_line_dedup_empty_and_stage(spark, tables):
     assert linededup.stage(spark, d, "").columns == d.columns
 
 
+def maximal_brute(rows, min_lines, min_words):
+    """Every suffix with its longest common prefix with any earlier place."""
+    order = sorted({(i is None, i or 0, hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows if t is not None})
+    places = [(d, p) for d, (*_, t) in enumerate(order) for p in range(len(t.split("\n")))]
+    lines, out = [t.split("\n") for *_, t in order], {}
+    gone = [set() for _ in order]
+    for n, (d, p) in enumerate(places):
+        if not lines[d][p].split():
+            continue
+        longest = 0
+        for e, q in places[:n]:
+            k = 0
+            while p + k < len(lines[d]) and q + k < len(lines[e]) and lines[d][p + k] == lines[e][q + k]:
+                k += 1
+            longest = max(longest, k)
+        if longest >= min_lines or sum(len(x.split()) for x in lines[d][p : p + longest]) >= min_words:
+            gone[d] |= set(range(p, p + longest))
+    for d, (none, i, _, t) in enumerate(order):
+        out[None if none else i, t] = "\n".join(x for k, x in enumerate(lines[d]) if k not in gone[d])
+    return out
+
+
+@pytest.mark.parametrize(("seed", "min_lines"), [(0, 4), (1, 3), (2, 1), (3, 5)])
+def test_maximal_runs_brute_force(spark, seed, min_lines):
+    r = random.Random(seed)
+    pool = ["a", "b c", "", "", "d " * 6, "e"]
+    rows = [(r.choice([None, *range(30)]), None if r.random() < 0.05 else "\n".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for _ in range(40)]
+    want = maximal_brute(rows, min_lines, 6)
+    assert min_lines == 5 or want != lines_brute(rows, min_lines, 6)
+    got = linededup.deduped(docs(spark, [(i, t, None) for i, t in rows]), min_lines, 6, maximal=True).collect()
+    assert sorted(repr(g["text"]) for g in got) == sorted(map(repr, (t if t is None else want[i, t] for i, t in rows)))
+
+
+def test_stage_deletes_the_tail_of_a_run(spark):
+    run = "\n".join(" ".join(f"w{n}_{k}" for k in range(n)) for n in (60, 30, 10, 8)) + "\n\n" + " ".join(f"v{k}" for k in range(9))
+    got = linededup.stage(spark, docs(spark, [(1, f"one\n{run}\ntwo", None), (2, f"three\n{run}\nfour", None)]), "").collect()
+    assert {g["doc_id"]: g["text"] for g in got} == {1: f"one\n{run}\ntwo", 2: "three\nfour"}
+
+
 # --- near duplicates
 
 
