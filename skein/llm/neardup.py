@@ -178,6 +178,19 @@ def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: in
                 out.append((a, b, aligned(p, q, least) > 0, len(q), again))
             yield pd.DataFrame(out, columns=["a", "b", "linked", "n", "again"])
 
+    def compared(pairs: DataFrame) -> DataFrame:
+        # only the sequences that take part are carried on
+        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(one, "node")
+        seqs = _likely(sketches, needed).alias("s").join(needed.alias("o"), own, "left_semi").select("node", "seq")
+        seqs = written(seqs.dropDuplicates(["node"]), "neardup-sequences")
+        both = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
+        judged = written(both.select("a", "b", "star", "seq_a", "seq_b").mapInPandas(judge, "a binary, b binary, linked boolean, n int, again array<long>"), "neardup-judged")
+        dropped(seqs)
+        return judged
+
+    def similar(left: str, right: str) -> Column:
+        return F.least(left, right) >= F.greatest(left, right) * least - 1e-9
+
     known: DataFrame | None = None
     done: DataFrame | None = None
     for level in range(levels):
@@ -190,10 +203,11 @@ def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: in
             of = rows.withColumn("label", F.col("node"))
         counts = of.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "size")
         held = written(of.join(counts, "key"), "neardup-buckets")
+        if not level:
+            wide = written(held.where(F.col("size") > small).select("key", "node", "n"), "neardup-wide")
         few, many = held.where(F.col("size") <= small), held.where(F.col("size") > small)
         left, right = few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        near = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
-        pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b", F.lit(False).alias("star"))
+        pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & similar("na", "nb")).select("a", "b", F.lit(False).alias("star"))
         # the most central text of each large bucket
         support = many.groupBy("node").agg(F.sum("size").alias("support"))
         placed = many.join(support, "node")
@@ -208,13 +222,8 @@ def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: in
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs, "neardup-pairs")
-        # only the sequences that take part are carried on
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(one, "node")
-        seqs = _likely(sketches, needed).alias("s").join(needed.alias("o"), own, "left_semi").select("node", "seq")
-        seqs = written(seqs.dropDuplicates(["node"]), "neardup-sequences")
-        both = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
-        judged = written(both.select("a", "b", "star", "seq_a", "seq_b").mapInPandas(judge, "a binary, b binary, linked boolean, n int, again array<long>"), "neardup-judged")
-        dropped(rows, held, seqs)
+        judged = compared(pairs)
+        dropped(rows, held)
         # a class so far is a star around its smallest node
         edges = judged.where("linked").select("a", "b")
         known, old = components(edges if known is None else edges.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b")))), known
@@ -224,6 +233,19 @@ def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: in
         entry = judged.where(F.size("again") > 0).select(F.col("b").alias("node"), "n", F.explode("again").alias("key"))
         if entry.isEmpty():
             break
+    # what the leaders left apart: in a large bucket, all pairs of different classes
+    of = wide.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = of.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    of = written(of.join(apart, "key"), "neardup-apart")
+    # a pair is made once, in the first bucket that both texts are in
+    of = of.join(of.groupBy("node").agg(F.collect_set("key").alias("in")), "node")
+    left, right = (of.select("key", *[F.col(c).alias(c[0] + side) for c in ("node", "label", "in")], F.col("n").alias("size" + side)) for side in "ab")
+    first = F.array_min(F.array_intersect("ia", "ib")) == F.col("key")
+    pairs = left.join(right, "key").where((F.col("na") < F.col("nb")) & (F.col("la") != F.col("lb")) & similar("sizea", "sizeb") & first)
+    pairs = written(pairs.select(F.col("na").alias("a"), F.col("nb").alias("b"), F.lit(False).alias("star")).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
+    if not pairs.isEmpty():
+        links = compared(pairs).where("linked").select("a", "b")
+        known = components(links.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     return known
 
 
