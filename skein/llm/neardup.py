@@ -263,23 +263,34 @@ def _likely(sketches: DataFrame, needed: DataFrame, bits: int = 24) -> DataFrame
     return at.join(F.broadcast(rows), (F.col("_nd_w") == F.col("_nd_word")) & (F.col("_nd_b").bitwiseAND(F.col("_nd_bits")) != 0)).select(*sketches.columns)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node of each connected component of edges (a, b)."""
-    two = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "components-edges")
-    label = written(two.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "components-labels")
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, label): the smallest node of each connected component of edges (a, b).
+
+    Large-star and small-star in turn until every component is a star around
+    its smallest node, so rounds grow with the logarithm of its size and not
+    with its diameter.  No result is returned before that: after ``rounds``,
+    far more than any graph needs, it is an error.
+    """
+    # u is the larger end
+    at = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    at = written(at.distinct(), "components-edges")
     for _ in range(rounds):
-        # the smallest label around, then that label's own label
-        seen = two.join(label, two["b"] == label["node"]).groupBy("a").agg(F.min("label").alias("m")).select(F.col("a").alias("node"), "m")
-        step = label.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        now = written(step.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "components-labels")
-        moved = now.where(F.col("old") != F.col("label")).isEmpty()
-        dropped(label)
-        label = now.select("node", "label")
-        label._skein_path = now._skein_path
-        if moved:
+        # large-star: the larger neighbours of a node move to the smallest one around
+        around = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = written(at.join(around, "v").select("u", F.col("m").alias("v")).distinct(), "components-large")
+        # small-star: the smaller neighbours of a node, and the node, move to the smallest of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components-edges")
+        dropped(at, large)
+        at = now
+        several = at.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+        if several.unionByName(at.select("u").join(at.select(F.col("v").alias("u")), "u", "left_semi")).isEmpty():
             break
-    dropped(two)
+    else:
+        raise RuntimeError(f"components are not found after {rounds} rounds")
+    label = written(at.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "components-labels")
+    dropped(at)
     return label
 
 

@@ -219,6 +219,20 @@ def test_large_buckets_lose_no_link(spark, seed):
     assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, [(i, t, None) for i, t in rows])).collect()} == want
 
 
+def test_components_of_long_chains(spark):
+    """Chains whose nodes are numbered in random order, a band and a star."""
+    r = random.Random(2)
+    ids = r.sample(range(10**6), 1400)
+    chain, band, star = ids[:500], ids[500:1300], ids[1300:]
+    pairs = [*zip(chain, chain[1:], strict=False), *((band[i], band[i + k]) for k in range(1, 5) for i in range(800 - k)), *((star[0], x) for x in star)]
+    pairs += [(b, a) for a, b in pairs[::7]]
+    got = {x["node"]: x["label"] for x in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == union(pairs, ids)
+    with pytest.raises(RuntimeError):
+        neardup.components(spark.createDataFrame(pairs, "a long, b long"), rounds=2)
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicate_rows_and_stage(spark):
     rows = [(5, "same text of six words here", "a"), (5, "same text of six words here", "a"), (None, "same text of six words here", "b"), (None, None, "c"), (None, None, "c"), (1, "another text entirely, of some words", "d"), (None, "lonely words without any id at all", "e")]
     d = docs(spark, rows)
