@@ -205,3 +205,37 @@ def test_secrets_end_and_leave_clean_text_alone(spark):
     got = secrets.scanned(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r["spans"] == "" and r["n_hex"] == 0 for r in got)
     assert secrets.scanned(docs(spark, [])).count() == 0
+
+
+SECRET = "password=abcdefghijklmnop1234"
+
+
+@pytest.mark.parametrize(("width", "end"), [(76, "\n"), (64, "\r\n"), (30, "\n    "), (77, "\n")])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress, zlib.compress])
+def test_secrets_in_wrapped_base64(width, end, pack):
+    body = base64.b64encode(pack(("".join(f"line {i * 7919 % 10007}, of {i}; " for i in range(40)) + SECRET + " end").encode())).decode()
+    wrapped = end.join(body[i : i + width] for i in range(0, len(body), width))
+    for before, after in (("see ", ""), ("as follows\n", "\nHello\nworld"), ("data: ", "\n\nmore")):
+        text = before + wrapped + after
+        base, every = secrets.spans(text)
+        assert base == [] and any(k == secrets.ASSIGN and len(before) <= a < b <= len(text) - len(after) for a, k, b in every)
+        if pack(b"") == b"":
+            assert any(SECRET in base64.b64decode("".join(text[a - a_ : b + b_].split()) + "==").decode(errors="ignore") for a, _, b in every for a_ in range(4) for b_ in range(4) if len("".join(text[a - a_ : b + b_].split())) % 4 == 0)
+
+
+def test_secrets_of_every_member_and_far_inside():
+    members = base64.b64encode(gzip.compress(b"first part\n") + gzip.compress(SECRET.encode())).decode()
+    assert secrets.spans(f"x {members} y")[1] == [(2, secrets.ASSIGN, 2 + len(members))]
+    # two-byte characters, so that a cut at any power of two falls inside one
+    far = base64.b64encode(gzip.compress(("a" + ("é" * 70 + "\n") * 480_000 + SECRET).encode(), 1)).decode()
+    assert secrets.spans(far)[1] == [(0, secrets.ASSIGN, len(far))]
+
+
+def test_pieces_are_the_whole_layer(monkeypatch):
+    monkeypatch.setattr(secrets, "_PIECE", 50)
+    wrapped = "\n".join(base64.b64encode(("plain " * 30 + SECRET).encode()).decode()[i : i + 76] for i in range(0, 280, 76))
+    inner = "words, words.\n" * 20 + SECRET + "\n" + "more words.\n" * 9 + wrapped + "\n" + "é" * 200
+    raw = gzip.compress(inner.encode())
+    pieces = list(secrets._pieces(raw))
+    assert "".join(pieces) == inner and len(pieces) > 5 and sum(wrapped in p for p in pieces) == 1 and secrets._readable(raw)
+    assert not secrets._readable(gzip.compress(b"good. \n" * 50 + b"\xff"))
