@@ -3,7 +3,10 @@
 A text is the sequence of its five-word shingles, each labelled with its
 occurrence number in the text.  For each of ``entries`` hash functions the
 sketch takes the ``K`` smallest labelled shingles and keeps them in text order
-as one key, so keys agree when texts share shingles in the same order.  Two
+as one key, so keys agree when texts share shingles in the same order.  That is
+sparse for texts of fewer than ``SHORT`` shingles, so these, and texts that may
+be similar to one, have their first shingles in the order of a hash as keys:
+so many that similar texts always share one (prefix filtering).  Two
 different texts are linked if the alignment of their shingle sequences, within
 the band that the threshold allows, matches m of a and b shingles with
 m / (a + b - m) of ``least`` or more.  Classes are the connected components of
@@ -25,6 +28,7 @@ leader, or to another of its texts, can be lost (see the README for figures).
 from __future__ import annotations
 
 import functools
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -37,6 +41,7 @@ from ..scratch import dropped, written
 from .text import bounded_batches, table
 
 SHINGLE, K, K_DIFFERENCE, LEADERS = 5, 4, 2, 2
+SHORT = 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -100,6 +105,18 @@ def keys(h: np.ndarray, entries: int, k: int, salt: int = 0) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch_of(h: np.ndarray, entries: int, least: float) -> np.ndarray:
+    """The keys of a text: its sketch, if it is not short, and prefix shingles, if a short text may be similar."""
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64)
+    parts = [keys(h, entries, K)] if n >= SHORT else []
+    if n * least <= SHORT:
+        # similar texts share least * n shingles or more, so not all of those can come after the prefix
+        parts.append(np.sort(_mix(h + _P))[: n - math.ceil(least * n - 1e-9) + 1].view(np.int64))
+    return np.unique(np.concatenate(parts))
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Similarity of two sequences of labelled shingles by banded alignment; 0 where it is below ``least``.
 
@@ -133,7 +150,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return got / (n + m - got) if got >= need - 1e-9 else 0.0
 
 
-def sketched(docs: DataFrame, entries: int) -> DataFrame:
+def sketched(docs: DataFrame, entries: int, least: float) -> DataFrame:
     """(doc_id, node, n, keys, seq) of every document with a text: its digest, shingles, sketch and shingle sequence."""
     bounded_batches(docs.sparkSession)
 
@@ -143,7 +160,7 @@ def sketched(docs: DataFrame, entries: int) -> DataFrame:
             rows = []
             for t in texts:
                 h = shingles(t)
-                rows.append((len(h), keys(h, entries, K) if len(h) else [], (h >> np.uint64(32)).astype(np.uint32).tobytes()))
+                rows.append((len(h), sketch_of(h, entries, least), (h >> np.uint64(32)).astype(np.uint32).tobytes()))
             yield pd.DataFrame(rows, columns=["n", "keys", "seq"])
 
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), sketch(F.col("text")).alias("s"))
@@ -296,7 +313,7 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
 def _labelled(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with ``_nd_label`` (the class; null for a null text) and ``class_id``."""
-    sketches = sketched(docs.select("doc_id", "text"), how.get("entries", 24))
+    sketches = sketched(docs.select("doc_id", "text"), how.get("entries", 24), how.get("least", 0.8))
     label = labels(sketches, **how)
     node = sketches.groupBy("node").agg(F.min("doc_id").alias("m"))
     node = written(node.join(label, "node", "left").select("node", "m", F.coalesce("label", "node").alias("label")), "neardup-labels")

@@ -233,6 +233,16 @@ def test_components_of_long_chains(spark):
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_short_similar_texts_always_share_a_key():
+    for n in range(4, 25):
+        for i in range(3000 if n == 5 else 100):
+            w = [f"w{n}_{i}_{k}" for k in range(n + 4)]
+            a = neardup.shingles(" ".join(w))
+            # one text inside the other, at exactly 0.8 where that is possible
+            b = neardup.shingles(" ".join(w[: len(w) - int(0.2 * n + 1e-9)]))
+            assert neardup.aligned(a, b, 0.8) > 0 and set(neardup.sketch_of(a, 24, 0.8)) & set(neardup.sketch_of(b, 24, 0.8))
+
+
 def test_near_duplicate_rows_and_stage(spark):
     rows = [(5, "same text of six words here", "a"), (5, "same text of six words here", "a"), (None, "same text of six words here", "b"), (None, None, "c"), (None, None, "c"), (1, "another text entirely, of some words", "d"), (None, "lonely words without any id at all", "e")]
     d = docs(spark, rows)
