@@ -42,6 +42,7 @@ from .text import bounded_batches, table
 
 SHINGLE, K, K_DIFFERENCE, LEADERS = 5, 4, 2, 2
 SHORT = 20
+PARITY = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -117,6 +118,11 @@ def sketch_of(h: np.ndarray, entries: int, least: float) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
+def parity(seq: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of shingles falls in each place: two texts differ in as many shingles as bits at least."""
+    return np.packbits((np.bincount(seq & np.uint32(PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Similarity of two sequences of labelled shingles by banded alignment; 0 where it is below ``least``.
 
@@ -154,17 +160,18 @@ def sketched(docs: DataFrame, entries: int, least: float) -> DataFrame:
     """(doc_id, node, n, keys, seq) of every document with a text: its digest, shingles, sketch and shingle sequence."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("struct<n: int, keys: array<long>, seq: binary>")
+    @F.pandas_udf("struct<n: int, keys: array<long>, seq: binary, parity: array<long>>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 h = shingles(t)
-                rows.append((len(h), sketch_of(h, entries, least), (h >> np.uint64(32)).astype(np.uint32).tobytes()))
-            yield pd.DataFrame(rows, columns=["n", "keys", "seq"])
+                seq = (h >> np.uint64(32)).astype(np.uint32)
+                rows.append((len(h), sketch_of(h, entries, least), seq.tobytes(), parity(seq)))
+            yield pd.DataFrame(rows, columns=["n", "keys", "seq", "parity"])
 
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), sketch(F.col("text")).alias("s"))
-    return written(rows.select("doc_id", "node", "s.n", "s.keys", "s.seq"), "neardup-sketches")
+    return written(rows.select("doc_id", "node", "s.n", "s.keys", "s.seq", "s.parity"), "neardup-sketches")
 
 
 def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: int = 16, levels: int = 2) -> DataFrame:
@@ -256,9 +263,14 @@ def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: in
     of = written(of.join(apart, "key"), "neardup-apart")
     # a pair is made once, in the first bucket that both texts are in
     of = of.join(of.groupBy("node").agg(F.collect_set("key").alias("in")), "node")
-    left, right = (of.select("key", *[F.col(c).alias(c[0] + side) for c in ("node", "label", "in")], F.col("n").alias("size" + side)) for side in "ab")
+    # texts that differ in more shingles than a similar pair can need no alignment
+    nodes = of.select("node").distinct()
+    of = of.join(_likely(sketches, nodes).select("node", "parity").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "node")
+    bits = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY // 64)))
+    close = bits <= (F.col("sizea") + F.col("sizeb")) * ((1 - least) / (1 + least)) + 1e-6
+    left, right = (of.select("key", *[F.col(c).alias(c[0] + side) for c in ("node", "label", "in", "parity")], F.col("n").alias("size" + side)) for side in "ab")
     first = F.array_min(F.array_intersect("ia", "ib")) == F.col("key")
-    pairs = left.join(right, "key").where((F.col("na") < F.col("nb")) & (F.col("la") != F.col("lb")) & similar("sizea", "sizeb") & first)
+    pairs = left.join(right, "key").where((F.col("na") < F.col("nb")) & (F.col("la") != F.col("lb")) & similar("sizea", "sizeb") & close & first)
     pairs = written(pairs.select(F.col("na").alias("a"), F.col("nb").alias("b"), F.lit(False).alias("star")).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
     if not pairs.isEmpty():
         links = compared(pairs).where("linked").select("a", "b")

@@ -233,6 +233,15 @@ def test_components_of_long_chains(spark):
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_parity_bounds_the_difference():
+    r = np.random.default_rng(0)
+    for n in (3, 80, 900, 5000):
+        a = r.integers(0, 1 << 32, n, dtype=np.uint32)
+        b = np.concatenate([a[: n - n // 5], r.integers(0, 1 << 32, n // 7, dtype=np.uint32)])
+        bits = sum(int(x).bit_count() for x in (neardup.parity(a) ^ neardup.parity(b)).view(np.uint64))
+        assert len(neardup.parity(a)) == 16 and bits <= len(np.setxor1d(a, b)) and (n > 80 or bits >= 0.7 * len(np.setxor1d(a, b)))
+
+
 def test_short_similar_texts_always_share_a_key():
     for n in range(4, 25):
         for i in range(3000 if n == 5 else 100):
