@@ -19,5 +19,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_suffix_array": linededup.ORACLE,
+    "op2_host_trust": urls.ORACLE,
     "op4_merkle_audit": fixity.ORACLE,
 }

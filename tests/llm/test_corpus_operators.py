@@ -306,12 +306,51 @@ def test_trust_and_distrust_flow(spark):
     for walk, seed in ((m, 0), (m.T, 1)):
         p = walk / np.maximum(walk.sum(1), 1)[:, None]
         v = s = np.eye(7)[seed] * 0.15
-        for _ in range(24):
+        for _ in range(200):
             v = s + 0.85 * (v @ p)
         by = {r["host"]: r for r in got.values()}
         assert np.allclose([by[h]["distrust" if seed else "trust"] for h in hosts], v)
 
 
+def test_url_parts_end_at_the_first_mark(spark):
+    """Later ``://``, also after ``?`` or ``#`` and without a slash before them, are no part of host or path."""
+    rows = {"http://a.com?u=http://b.com/de/x": ("a.com", ""), "http://a.com#http://b.fr/x": ("a.com", ""), "http://a.com/x#y?z/": ("a.com", "/x"), "http://a.com/q?to=http://b.com/de/": ("a.com", "/q"), "x?http://b.com/de/x": ("b.com", "/de/x"), "://": ("", ""), "a:///p/q": ("", "/p/q"), "h://B.Com\n/de/": ("b.com\n", "/de/"), "HTTP://A.org//x": ("a.org", "//x")}
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["url"]: r for r in urls.judged(pages).collect()}
+    assert {u: (r["host"], r["path"]) for u, r in got.items()} == rows
+    assert got["http://a.com?u=http://b.com/de/x"]["rule"] is None and got["http://a.com?u=http://b.com/de/x"]["verdict"] == "allow"
+    assert got["x?http://b.com/de/x"]["rule"] == "com/de/"
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_pages_have_a_graph(spark, scale):
+    """Ancestor domains join the hosts, and the masses are those of a power iteration over all pages."""
+    pages = spark.read.parquet(f"/root/testdata/{scale}/pages.parquet").withColumn("host", urls.host_of(F.col("url")))
+    edges = urls.host_edges(pages, pages.select("host").distinct()).toPandas()
+    hosts = {r["host"] for r in pages.select("host").distinct().collect()}
+    want = {(".".join(h.split(".")[i:]), ".".join(h.split(".")[i + 1 :])) for h in hosts for i in range(h.count(".") - 1 + 0)}
+    assert len(edges) > 0 and set(zip(edges["src"], edges["dst"], strict=True)) == want | {(b, a) for a, b in want}
+    if scale != "sf0.01":
+        return
+    rows = urls.judged(pages.select("page_id", "url", "html")).toPandas()
+    nodes = sorted(set(edges["src"]) | set(rows["host"]))
+    place = {h: i for i, h in enumerate(nodes)}
+    m = np.zeros((len(nodes), len(nodes)))
+    m[edges["src"].map(place), edges["dst"].map(place)] = edges["weight"]
+    mass = []
+    for walk, verdict in ((m, "allow"), (m.T, "block")):
+        p = walk / np.maximum(walk.sum(1), 1)[:, None]
+        seeds = np.bincount(rows.loc[rows["rule"].notna() & (rows["verdict"] == verdict), "host"].map(place), minlength=len(nodes)) * 0.15
+        v = seeds.copy()
+        for _ in range(300):
+            v = seeds + 0.85 * (v @ p)
+        mass.append(v[rows["host"].map(place)])
+    assert np.allclose(rows["trust"], mass[0], atol=1e-5) and np.allclose(rows["distrust"], mass[1], atol=1e-5)
+    free = rows["rule"].isna()
+    bad = mass[1] / np.maximum(mass[0] + mass[1], 1e-300) > 0.6
+    assert (free & bad).any() and ((rows["verdict"] == "block") == bad)[free].all()
+
+
 def test_url_filter_on_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.judged(none).count() == 0
