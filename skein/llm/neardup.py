@@ -13,16 +13,15 @@ m / (a + b - m) of ``least`` or more.  Classes are the connected components of
 the links; equal texts are one node from the start.
 
 Candidates are texts with a common key.  A bucket of at most ``small`` texts
-compares all of them.  A larger one compares each with its most central text
-only (the one whose keys have the largest buckets), so a group of copies costs
-as many comparisons as it has members.  What such a leader cannot link is
-found at the next level: every member is sketched again by the shingles in
-which it differs from the leader, added or missing.  Two texts that are
-similar to each other differ from the leader in much the same way, so they
-meet there, and the texts of a large group that merely surround the same
-leader do not.  At the last of ``levels`` a large bucket compares with its
-leader alone: a link there between two texts neither of which is linked to the
-leader, or to another of its texts, can be lost (see the README for figures).
+compares all of them.  In a larger one each text is first compared with one
+leader, another one in each bucket, which joins most of a group of copies at a
+cost that grows with its members.  What is then still of different classes is
+compared pairwise, in blocks of at most about ``block`` texts dealt over many
+tasks (:func:`apart`): texts of a bucket that are of one class already need no
+comparison, and a bound by parity bits rules out most of the others before
+any alignment.  So no link between texts with a common key is lost, whatever
+the size of the bucket; blocks grow with the square of the texts of one bucket
+that belong to different classes, but one task holds two blocks only.
 """
 
 from __future__ import annotations
@@ -34,14 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import dropped, written
 from .text import bounded_batches, table
 
-SHINGLE, K, K_DIFFERENCE, LEADERS = 5, 4, 2, 2
+SHINGLE, K = 5, 4
 SHORT = 20
+#: Least number of parity bits of a text; long texts have at least two for each shingle.
 PARITY = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -119,8 +119,20 @@ def sketch_of(h: np.ndarray, entries: int, least: float) -> np.ndarray:
 
 
 def parity(seq: np.ndarray) -> np.ndarray:
-    """Bits that tell whether an odd number of shingles falls in each place: two texts differ in as many shingles as bits at least."""
-    return np.packbits((np.bincount(seq & np.uint32(PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+    """Bits that tell whether an odd number of shingles falls in each place: two texts differ in as many shingles as bits at least.
+
+    The number of places is a power of two that grows with the text.
+    """
+    size = max(PARITY, 1 << (2 * len(seq) - 1).bit_length()) if len(seq) else PARITY
+    return np.packbits((np.bincount(seq & np.uint32(size - 1), minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parity bits (texts by 64-bit words) over fewer places."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -156,140 +168,171 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return got / (n + m - got) if got >= need - 1e-9 else 0.0
 
 
+def _node(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def sketched(docs: DataFrame, entries: int, least: float) -> DataFrame:
-    """(doc_id, node, n, keys, seq) of every document with a text: its digest, shingles, sketch and shingle sequence."""
+    """(doc_id, node, n, keys) of every document with a text: its digest, number of shingles and sketch."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("struct<n: int, keys: array<long>, seq: binary, parity: array<long>>")
+    @F.pandas_udf("struct<n: int, keys: array<long>>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 h = shingles(t)
-                seq = (h >> np.uint64(32)).astype(np.uint32)
-                rows.append((len(h), sketch_of(h, entries, least), seq.tobytes(), parity(seq)))
-            yield pd.DataFrame(rows, columns=["n", "keys", "seq", "parity"])
+                rows.append((len(h), sketch_of(h, entries, least)))
+            yield pd.DataFrame(rows, columns=["n", "keys"])
 
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), sketch(F.col("text")).alias("s"))
-    return written(rows.select("doc_id", "node", "s.n", "s.keys", "s.seq", "s.parity"), "neardup-sketches")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", _node(F.col("text")).alias("node"), sketch(F.col("text")).alias("s"))
+    return written(rows.select("doc_id", "node", "s.n", "s.keys"), "neardup-sketches")
 
 
-def labels(sketches: DataFrame, least: float = 0.8, entries: int = 24, small: int = 16, levels: int = 2) -> DataFrame:
-    """(node, label) of the texts that are linked to others: the smallest node of each class.
+def sequences(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, n, seq, parity) of the texts ``needed`` (node, doc_id of one document that has it), made again from ``docs``.
 
-    After each level the classes so far are known.  Two texts of one class
-    need no comparison any more, so a bucket that holds one class is left
-    out; this changes no class.
+    Only texts that have company are, so the other ones' sequences are never written.
     """
-    spark = sketches.sparkSession
-    bounded_batches(spark)
+
+    @F.pandas_udf("struct<n: int, seq: binary, parity: binary>")
+    def sequence(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                seq = (shingles(t) >> np.uint64(32)).astype(np.uint32)
+                rows.append((len(seq), seq.tobytes(), parity(seq).tobytes()))
+            yield pd.DataFrame(rows, columns=["n", "seq", "parity"])
+
+    texts = _likely(docs.where(F.col("text").isNotNull()).select("doc_id", _node(F.col("text")).alias("node"), "text"), needed, ["node", "doc_id"])
+    own = F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("t.node") == F.col("o.node"))
+    rows = texts.alias("t").join(needed.alias("o"), own, "left_semi").dropDuplicates(["node"])
+    return written(rows.select("node", sequence("text").alias("s")).select("node", "s.n", "s.seq", "s.parity"), "neardup-sequences")
+
+
+def labels(docs: DataFrame, sketches: DataFrame, least: float = 0.8, small: int = 16, block: int = 2048) -> DataFrame:
+    """(node, label) of the texts that are linked to others: the smallest node of each class."""
+    bounded_batches(docs.sparkSession)
     one = written(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "neardup-nodes")
     # one row for each text; repeated rows of one id and text give the same keys
     own = F.col("s.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("s.node") == F.col("o.node"))
     entry = sketches.alias("s").join(one.alias("o"), own, "left_semi").where("n > 0").select("node", "n", F.explode("keys").alias("key"))
+    rows = written(entry.distinct(), "neardup-keys")
+    lead = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "n"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), lead.alias("lead")).where("size > 1")
+    held = written(rows.join(buckets.select("key", "size", F.col("lead.node").alias("lead"), F.col("lead.n").alias("nl")), "key"), "neardup-buckets")
+    dropped(rows)
+    seqs = sequences(docs, held.select("node").distinct().join(one, "node"))
+    dropped(one)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            out = []
-            for a, b, star, x, y in zip(df["a"], df["b"], df["star"], df["seq_a"], df["seq_b"], strict=True):
-                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                again = []
-                if star:
-                    apart = np.setxor1d(p, q).astype(np.uint64)
-                    if len(apart):
-                        # the leader is part of the key; added and missing shingles keep their order by hash
-                        again = keys(_mix(apart), entries, K_DIFFERENCE, int.from_bytes(a[:8], "little"))
-                out.append((a, b, aligned(p, q, least) > 0, len(q), again))
-            yield pd.DataFrame(out, columns=["a", "b", "linked", "n", "again"])
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        # only the sequences that take part are carried on
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(one, "node")
-        seqs = _likely(sketches, needed).alias("s").join(needed.alias("o"), own, "left_semi").select("node", "seq")
-        seqs = written(seqs.dropDuplicates(["node"]), "neardup-sequences")
-        both = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
-        judged = written(both.select("a", "b", "star", "seq_a", "seq_b").mapInPandas(judge, "a binary, b binary, linked boolean, n int, again array<long>"), "neardup-judged")
-        dropped(seqs)
-        return judged
-
-    def similar(left: str, right: str) -> Column:
-        return F.least(left, right) >= F.greatest(left, right) * least - 1e-9
-
-    known: DataFrame | None = None
-    done: DataFrame | None = None
-    for level in range(levels):
-        rows = written(entry.select("key", "node", "n").distinct() if level else entry.select("key", "node", "n"), "neardup-keys")
-        if known is not None:
-            # a key of one text can't bring any together
-            shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-            of = rows.join(shared, "key", "left_semi").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        else:
-            of = rows.withColumn("label", F.col("node"))
-        counts = of.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "size")
-        held = written(of.join(counts, "key"), "neardup-buckets")
-        if not level:
-            wide = written(held.where(F.col("size") > small).select("key", "node", "n"), "neardup-wide")
-        few, many = held.where(F.col("size") <= small), held.where(F.col("size") > small)
-        left, right = few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & similar("na", "nb")).select("a", "b", F.lit(False).alias("star"))
-        # the most central text of each large bucket
-        support = many.groupBy("node").agg(F.sum("size").alias("support"))
-        placed = many.join(support, "node")
-        leader = placed.groupBy("key").agg(F.max(F.struct("support", "node", "label")).alias("top")).select("key", F.col("top.support").alias("support"), F.col("top.node").alias("lead"), F.col("top.label").alias("la"))
-        # at first every member is sketched against its leader, later only those of other classes
-        apart = F.col("lead") != F.col("node") if not level else F.col("la") != F.col("label")
-        stars = many.join(leader, "key").where(apart).groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.max("support").alias("support"))
-        # a text is sketched again against its two most central leaders
-        best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("support"), "a"))
-        stars = stars.select("a", "b", (best <= LEADERS).alias("star"))
-        pairs = pairs.unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "neardup-pairs")
-        judged = compared(pairs)
-        dropped(rows, held)
-        # a class so far is a star around its smallest node
-        edges = judged.where("linked").select("a", "b")
-        known, old = components(edges if known is None else edges.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b")))), known
-        if old is not None:
-            dropped(old)
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        entry = judged.where(F.size("again") > 0).select(F.col("b").alias("node"), "n", F.explode("again").alias("key"))
-        if entry.isEmpty():
-            break
-    # what the leaders left apart: in a large bucket, all pairs of different classes
-    of = wide.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = of.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    of = written(of.join(apart, "key"), "neardup-apart")
-    # a pair is made once, in the first bucket that both texts are in
-    of = of.join(of.groupBy("node").agg(F.collect_set("key").alias("in")), "node")
-    # texts that differ in more shingles than a similar pair can need no alignment
-    nodes = of.select("node").distinct()
-    of = of.join(_likely(sketches, nodes).select("node", "parity").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "node")
-    bits = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY // 64)))
-    close = bits <= (F.col("sizea") + F.col("sizeb")) * ((1 - least) / (1 + least)) + 1e-6
-    left, right = (of.select("key", *[F.col(c).alias(c[0] + side) for c in ("node", "label", "in", "parity")], F.col("n").alias("size" + side)) for side in "ab")
-    first = F.array_min(F.array_intersect("ia", "ib")) == F.col("key")
-    pairs = left.join(right, "key").where((F.col("na") < F.col("nb")) & (F.col("la") != F.col("lb")) & similar("sizea", "sizeb") & close & first)
-    pairs = written(pairs.select(F.col("na").alias("a"), F.col("nb").alias("b"), F.lit(False).alias("star")).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
-    if not pairs.isEmpty():
-        links = compared(pairs).where("linked").select("a", "b")
-        known = components(links.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+            linked = [aligned(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) > 0 for x, y in zip(df["seq_a"], df["seq_b"], strict=True)]
+            yield df.loc[linked, ["a", "b"]]
+
+    def links(pairs: DataFrame) -> DataFrame:
+        side = lambda c: seqs.select(F.col("node").alias(c), F.col("seq").alias(f"seq_{c}"))
+        return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(judge, "a binary, b binary"), "neardup-links")
+
+    similar = lambda x, y: F.least(x, y) >= F.greatest(x, y) * least - 1e-9
+    few, wide = held.where(F.col("size") <= small), held.where(F.col("size") > small).select("key", "node", "n", "size")
+    left, right = (few.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & similar("na", "nb")).select("a", "b")
+    stars = held.where((F.col("size") > small) & (F.col("lead") != F.col("node")) & similar("n", "nl"))
+    pairs = pairs.unionByName(stars.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")))
+    done = written(pairs.distinct(), "neardup-pairs")
+    edges, compared = links(done), [done]
+    known = components(edges)
+    dropped(edges)
+    # at first the nearest text of another class, which joins nearly all that belong together, then every pair that is left
+    for nearest in (True, False):
+        more = written(apart(wide, known, seqs, least, block, nearest).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
+        compared.append(more)
+        if more.isEmpty():
+            continue
+        edges = links(more)
+        old, known = known, components(edges.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        dropped(old, edges)
+        done = done.unionByName(more)
+    dropped(held, seqs, *compared)
     return known
 
 
-def _likely(sketches: DataFrame, needed: DataFrame, bits: int = 24) -> DataFrame:
-    """The sketches whose node may be among ``needed``: all that are, and a few others.
+def apart(wide: DataFrame, known: DataFrame, seqs: DataFrame, least: float, block: int, nearest: bool) -> DataFrame:
+    """(a, b): pairs of texts of one bucket but of different classes that may be similar, each once.
+
+    ``wide`` has the buckets (key, node, n, size), ``known`` the classes so
+    far.  A bucket of one class has no such pair.  The others are cut into
+    blocks, by a hash of the node; a task compares two blocks and gives, for
+    each text outside its largest class, the pairs that length and parity do
+    not rule out, or only the nearest by parity.
+    """
+    of = wide.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = of.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    of = written(of.join(several, "key"), "neardup-apart")
+    texts = of.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.sort_array(F.collect_set("key")).alias("keys"))
+    texts = texts.join(seqs.select("node", "parity"), "node")
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    rows = of.select("key", "node", "size").join(texts, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "n", "keys", "parity")
+
+    def compare(df: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[bytes, bytes]] = []
+        own, x, y = df["own"].to_numpy(), int(df["x"].iloc[0]), int(df["y"].iloc[0])
+        label = np.unique(np.array([v.hex() for v in df["label"]]), return_inverse=True)[1]
+        n, node, keys, key = df["n"].to_numpy(np.int64), df["node"].to_numpy(), df["keys"].to_numpy(), df["key"].iloc[0]
+        words = np.array([len(v) // 8 for v in df["parity"]])
+        sets = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
+        bits = {w: np.frombuffer(b"".join(df["parity"].iloc[at]), np.uint64).reshape(len(at), w) for w, at in sets.items()}
+        # of each pair one text at least isn't of the largest class
+        minor = label != np.bincount(label).argmax()
+        for w, at in sets.items():
+            for chunk in np.array_split(at[minor[at]], -(-int(minor[at].sum()) // 128)) if minor[at].any() else ():
+                best = np.full(len(chunk), np.inf)
+                mate = np.full(len(chunk), -1)
+                own_bits = bits[w][np.searchsorted(at, chunk)]
+                for v, to in sets.items():
+                    if not 0.5 <= v / w <= 2:
+                        continue
+                    p, q = folded(own_bits, min(v, w)), folded(bits[v], min(v, w))
+                    differ = np.zeros((len(p), len(q)), np.int64)
+                    for k in range(p.shape[1]):
+                        differ += np.bitwise_count(p[:, k, None] ^ q[None, :, k])
+                    na, nb = n[chunk][:, None], n[to][None, :]
+                    ok = (label[chunk][:, None] != label[to][None, :]) & (np.minimum(na, nb) >= np.maximum(na, nb) * least - 1e-9) & (differ <= (na + nb) * ((1 - least) / (1 + least)) + 1e-6)
+                    if x != y:
+                        ok &= own[chunk][:, None] != own[to][None, :]
+                    if nearest:
+                        share = np.where(ok, differ / (na + nb), np.inf)
+                        col = share.argmin(1)
+                        value = share[np.arange(len(chunk)), col]
+                        mate, best = np.where(value < best, to[col], mate), np.minimum(best, value)
+                    else:
+                        # pairs of two minor texts come twice, and a pair has its place in the first bucket of both
+                        for i, j in zip(*np.nonzero(ok & (~minor[to][None, :] | (chunk[:, None] < to[None, :]))), strict=True):
+                            a, b = int(chunk[i]), int(to[j])
+                            if np.intersect1d(keys[a], keys[b], assume_unique=True)[0] == key:
+                                found.append((min(node[a], node[b]), max(node[a], node[b])))
+                found += [(min(node[a], node[b]), max(node[a], node[b])) for a, b in zip(chunk.tolist(), mate.tolist(), strict=True) if b >= 0]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    out = written(rows.groupBy("key", "x", "y").applyInPandas(compare, "a binary, b binary").distinct(), "neardup-close")
+    dropped(of)
+    return out
+
+
+def _likely(rows: DataFrame, needed: DataFrame, by: list[str], bits: int = 24) -> DataFrame:
+    """Rows whose columns ``by`` may be among ``needed``: all that are, and a few others.
 
     A bitmap of fixed size (at most 2**bits bits, in rows of 64) is broadcast,
-    so that sequences that take no part aren't shuffled.
+    so that texts that take no part aren't shuffled.
     """
-    place = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
+    place = F.pmod(F.xxhash64(*by), F.lit(1 << bits))
     word: Column = F.shiftright(place, 6).cast("int")
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << bits}L) % 64 as int))")
-    rows = needed.select(word.alias("_nd_word"), bit.alias("_nd_bit")).groupBy("_nd_word").agg(F.bit_or("_nd_bit").alias("_nd_bits"))
-    at = sketches.withColumns({"_nd_w": word, "_nd_b": bit})
-    return at.join(F.broadcast(rows), (F.col("_nd_w") == F.col("_nd_word")) & (F.col("_nd_b").bitwiseAND(F.col("_nd_bits")) != 0)).select(*sketches.columns)
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(by)}), {1 << bits}L) % 64 as int))")
+    bitmap = needed.select(word.alias("_nd_word"), bit.alias("_nd_bit")).groupBy("_nd_word").agg(F.bit_or("_nd_bit").alias("_nd_bits"))
+    at = rows.withColumns({"_nd_w": word, "_nd_b": bit})
+    return at.join(F.broadcast(bitmap), (F.col("_nd_w") == F.col("_nd_word")) & (F.col("_nd_b").bitwiseAND(F.col("_nd_bits")) != 0)).select(*rows.columns)
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -323,16 +366,17 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     return label
 
 
-def _labelled(docs: DataFrame, **how) -> DataFrame:
+def _labelled(docs: DataFrame, entries: int = 24, least: float = 0.8, **how) -> DataFrame:
     """``docs`` with ``_nd_label`` (the class; null for a null text) and ``class_id``."""
-    sketches = sketched(docs.select("doc_id", "text"), how.get("entries", 24), how.get("least", 0.8))
-    label = labels(sketches, **how)
+    sketches = sketched(docs.select("doc_id", "text"), entries, least)
+    label = labels(docs.select("doc_id", "text"), sketches, least, **how)
     node = sketches.groupBy("node").agg(F.min("doc_id").alias("m"))
     node = written(node.join(label, "node", "left").select("node", "m", F.coalesce("label", "node").alias("label")), "neardup-labels")
-    dropped(sketches)
-    least = node.groupBy("label").agg(F.min("m").alias("class_id"))
-    of = written(node.join(least, "label").select(F.col("node").alias("_nd_n"), F.col("label").alias("_nd_label"), F.col("class_id").alias("_nd_c")), "neardup-classes")
-    rows = docs.withColumn("_nd_d", F.unhex(F.md5(F.col("text").cast("binary"))))
+    dropped(sketches, label)
+    least_id = node.groupBy("label").agg(F.min("m").alias("class_id"))
+    of = written(node.join(least_id, "label").select(F.col("node").alias("_nd_n"), F.col("label").alias("_nd_label"), F.col("class_id").alias("_nd_c")), "neardup-classes")
+    dropped(node)
+    rows = docs.withColumn("_nd_d", _node(F.col("text")))
     out = rows.join(of, rows["_nd_d"] == of["_nd_n"], "left")
     return out.withColumn("class_id", F.when(F.col("_nd_d").isNull(), F.col("doc_id")).otherwise(F.col("_nd_c")))
 
