@@ -4,29 +4,32 @@ A text is the sequence of its ``\n``-separated lines.  A run of lines that
 occurs again at a later place (documents in the order of doc_id, null last,
 then of the text's MD5; lines in their order) is deleted there, if it is long
 enough: ``min_lines`` lines or ``min_words`` words from a line with a word on.
-
-The suffixes of all line sequences are ranked by distributed prefix doubling:
-a round sorts the distinct pairs (rank of the first 2**k lines, rank of the
-next 2**k) and so ranks prefixes of 2**(k+1) lines.  Lines that occur once can
-lie in no repeated run, so only the others take part, and a pair that occurs
-once leaves the race.  Suffixes of equal rank are a longest-common-prefix
-interval of that depth.  Each suffix needs one depth only: that of the
-shortest prefix that is long enough, at most ``min_lines``, which is where
-doubling ends.  Two overlapping ranks name that prefix exactly, and the
-suffixes that share the name are its interval; all but the first are later
-copies.  The union of such prefixes is what the query and its SQL delete.  A
-maximal repeated run goes further: after the last prefix that is long enough
-it has up to ``min_lines`` - 1 lines with words, and blank ones, which
-:func:`tails` adds.  The pipeline's stage deletes the maximal runs.
-
-Pairs are ranked as distinct keys, aggregated before they are shuffled, so a
-line that fills a third of the corpus is one key in the sort.  Positions find
+Runs are maximal: from every such line the longest run with an earlier copy.
+
+The suffixes of all line sequences are ranked by distributed prefix doubling
+(:func:`suffix_ranks`): a round sorts the distinct pairs (rank of the first
+2**k lines, rank of the next 2**k) and so ranks prefixes of 2**(k+1) lines.
+Lines that occur once can lie in no repeated run, so only the others take
+part, and a pair that occurs once leaves the race; its place in the suffix
+array is settled.  Rounds go on until no pair occurs twice, so as many as the
+logarithm of the longest repeated run.  Suffixes of equal rank are a
+longest-common-prefix interval of that depth.
+
+The interval of any other depth n is named by the ranks of 2**k lines that
+make it up.  :func:`longest` goes down from the widest intervals to the
+narrowest: a suffix that is not the first of the interval of depth n + 2**k
+around it goes into it, and one that is stays, for k from the top to 0.  The
+first suffix of an interval goes along as its representative, so every later
+one finds its longest common prefix with any earlier place, and no task holds
+an interval: the first is an aggregate.
+
+Pairs and intervals are distinct keys, aggregated before they are shuffled, so
+a line that fills a third of the corpus is one key in the sort.  Positions find
 their ranks by a join that adaptive execution can split.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import dropped, written
-from .text import bounded_batches, table, word_count
+from .text import bounded_batches, likely, table, word_count
 
 MIN_LINES, MIN_WORDS = 4, 50
 
@@ -60,151 +63,149 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.hex("digest").alias("t"), F.col("pos").alias("p"))
 
 
-def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
-    """(doc_id, digest, pos, size): prefixes of suffixes that are long enough and copies of an earlier place.
+_DOC = ["doc_id", "digest"]
+
+
+def _at(x: DataFrame, y: DataFrame, ahead: Column | int = 0) -> Column:
+    """The place of ``y`` is ``ahead`` lines after that of ``x``."""
+    return x["doc_id"].eqNullSafe(y["doc_id"]) & (x["digest"] == y["digest"]) & (x["pos"] + ahead == y["pos"])
+
 
-    With ``maximal``, they cover the maximal repeated runs; else the shortest prefixes only.
+def suffix_ranks(docs: DataFrame) -> list[DataFrame]:
+    """Table k has (doc_id, digest, pos, rank) of the suffixes whose first 2**k lines occur elsewhere; table 0 has ``words`` of the line too.
+
+    Ranks ascend with the lines' digests and are equal where those lines are.
     """
     every = written(lines_of(docs).distinct(), "lines-all")
     twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     ranks = written(_ranked(twice, ["key"]), "lines-rank")
-    at = written(every.join(ranks, "key").select("doc_id", "digest", "pos", "words", F.col("rank").alias("rank0")), "lines-at")
+    levels = [written(every.join(ranks, "key").select(*_DOC, "pos", "words", "rank"), "lines-level")]
     dropped(every, ranks)
-    doc = Window.partitionBy("doc_id", "digest").orderBy("pos")
-    ahead = lambda c, n: F.first(c).over(doc.rangeBetween(n, n))  # noqa: E731  of the line n lines on, null if it isn't here
-    level = 0
-    while 2 << level <= min_lines:
-        pairs = written(at.withColumn("next", ahead(f"rank{level}", 1 << level)), "lines-pairs")
-        twice = pairs.where(F.col("next").isNotNull()).groupBy(f"rank{level}", "next").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        ranks = written(_ranked(twice.select(F.col(f"rank{level}").alias("a"), F.col("next").alias("b")), ["a", "b"]), "lines-rank")
-        more = pairs.join(ranks, (pairs[f"rank{level}"] == ranks["a"]) & (pairs["next"] == ranks["b"]), "left")
-        old, at = at, written(more.select(*at.columns, F.col("rank").alias(f"rank{level + 1}")), "lines-at")
-        dropped(old, pairs, ranks)
-        level += 1
-    # how many lines from a suffix on are long enough, given that they all occur twice
-    words = [F.col("words"), *[ahead("words", i) for i in range(1, min_lines)]]
+    doc = Window.partitionBy(*_DOC).orderBy("pos")
+    while True:
+        half = 1 << (len(levels) - 1)
+        ahead = F.first("rank").over(doc.rangeBetween(half, half))  # null if that suffix isn't there
+        pairs = written(levels[-1].select(*_DOC, "pos", F.col("rank").alias("a"), ahead.alias("b")).where(F.col("b").isNotNull()), "lines-pairs")
+        twice = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+        ranks = written(_ranked(twice, ["a", "b"]), "lines-rank")
+        if ranks.isEmpty():
+            dropped(pairs, ranks)
+            return levels
+        levels.append(written(pairs.join(ranks, ["a", "b"]).select(*_DOC, "pos", "rank"), "lines-level"))
+        dropped(pairs, ranks)
+
+
+def starts(levels: list[DataFrame], min_lines: int, min_words: int) -> DataFrame:
+    """(doc_id, digest, pos, size, a, b): suffixes that begin with a word and with a repeated prefix that is long enough.
+
+    ``size`` is the number of lines of the shortest such prefix, and the ranks
+    of its first and its last 2**k lines, for the largest k that fits, name it.
+    """
+    doc = Window.partitionBy(*_DOC).orderBy("pos")
+    ahead = lambda c, n: F.first(c).over(doc.rangeBetween(n, n))
+    at = levels[0].select(*_DOC, "pos", "words", F.col("rank").alias("rank0"))
+    for k in range(1, min_lines.bit_length()):
+        if k < len(levels):
+            x = levels[k]
+            at = at.join(x, _at(at, x), "left").select(*[at[c] for c in at.columns], x["rank"].alias(f"rank{k}"))
+        else:
+            at = at.withColumn(f"rank{k}", F.lit(None).cast("long"))
     size, total = None, F.lit(0)
-    for i, w in enumerate(words):
-        total = total + w
+    for i in range(min_lines):
+        total = total + (ahead("words", i) if i else F.col("words"))
         enough = total.isNotNull() if i + 1 == min_lines else total >= min_words
         size = F.when(enough, i + 1) if size is None else size.when(enough, i + 1)
-    at_size = at.withColumn("size", F.when(F.col("words") > 0, size))
-    # the name of that prefix: the ranks, of the largest depth that fits, at its begin and its end
+    at = at.withColumn("size", F.when(F.col("words") > 0, size))
     first, second = F.lit(None).cast("long"), F.lit(None).cast("long")
     for n in range(1, min_lines + 1):
         k = n.bit_length() - 1
         shift = n - (1 << k)
         first = F.when(F.col("size") == n, F.col(f"rank{k}")).otherwise(first)
         second = F.when(F.col("size") == n, ahead(f"rank{k}", shift) if shift else F.lit(-1).cast("long")).otherwise(second)
-    named = at_size.withColumns({"a": first, "b": second}).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    named = written(named.select("doc_id", "digest", "pos", "size", "a", "b"), "lines-named")
-    if not maximal:
-        dropped(at)
-    # the interval's first suffix is the smallest place; places are compared, never gathered
-    best = named.groupBy("size", "a", "b").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "a", "b", "first")
-    later = written(named.join(best, ["size", "a", "b"]).where(_place() > F.col("first")).select("doc_id", "digest", "pos", "size", *(["a", "b"] if maximal else [])), "lines-later")
-    if maximal:
-        longer = tails(at, named, later, min_lines)
-        dropped(at)
-        later = later.select("doc_id", "digest", "pos", "size").unionByName(longer)
-    dropped(named)
-    return later
-
-
-def tails(at: DataFrame, named: DataFrame, later: DataFrame, min_lines: int) -> DataFrame:
-    """(doc_id, digest, pos, size): the windows of ``later`` that end short of their maximal run, with what follows.
-
-    A window whose next line begins a window of its own needs no more: that
-    one reaches as far.  Of what follows another, ``min_lines`` - 1 lines with
-    words and the blank ones among them and before the next are enough: if the
-    run goes further, a line of them begins a window.  The first lines of each
-    length are compared between the places that share the window.
-    """
-    bounded_batches(at.sparkSession)
-    doc = Window.partitionBy("doc_id", "digest").orderBy("pos")
-    open_ = written(later.withColumn("open", F.coalesce(F.lead("pos").over(doc) != F.col("pos") + 1, F.lit(True))).where("open"), "lines-open")
-    names = open_.select("size", "a", "b").distinct()
-    # every place of such a window, earlier ones too
-    places = named.join(names, ["size", "a", "b"], "left_semi").select("doc_id", "digest", "pos", "size", "a", "b", F.lit(0).alias("open"))
-    flags = places.unionByName(open_.select("doc_id", "digest", "pos", "size", "a", "b", F.lit(1).alias("open")))
-    lines = at.select("doc_id", "digest", "pos", F.col("rank0").alias("rank"), (F.col("words") > 0).cast("int").alias("solid"))
-    rows = lines.unionByName(flags, allowMissingColumns=True).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("pos", "rank", "solid")).alias("l"), F.collect_list(F.when(F.col("size").isNotNull(), F.struct("pos", "size", "a", "b", "open"))).alias("w"))
-    rows = rows.where(F.size("w") > 0).select("doc_id", "digest", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("pos", "rank", "solid")], *[F.col(f"w.{c}").alias(f"w_{c}") for c in ("pos", "size", "a", "b", "open")])
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["key", "digest", "pos", "size", "a", "b", "open", "more", "name"]
-        for df in batches:
-            out = []
-            for r in df.itertuples(index=False):
-                line = {int(p): (int(k), int(s)) for p, k, s in zip(r.l_pos, r.l_rank, r.l_solid, strict=True) if k == k and k is not None}
-                places: dict[int, tuple[int, int, int, int]] = {}
-                for p, size, a, b, is_open in zip(r.w_pos, r.w_size, r.w_a, r.w_b, r.w_open, strict=True):
-                    old = places.get(int(p))
-                    places[int(p)] = (int(size), int(a), int(b), max(int(is_open), old[3] if old else 0))
-                for p, (size, a, b, is_open) in places.items():
-                    h, solid, i = hashlib.md5(), 0, p + size
-                    while i in line:
-                        rank, s = line[i]
-                        solid += s
-                        if solid >= min_lines and s:
-                            break
-                        h.update(rank.to_bytes(8, "little"))
-                        i += 1
-                        out.append((r.key, r.digest, p, size, a, b, is_open, i - p - size, h.digest()))
-            yield pd.DataFrame(out, columns=columns)
-
-    # ids travel as text, since pandas would make those of a batch with nulls floats
-    kind = at.schema["doc_id"].dataType
-    rows = rows.select(F.col("doc_id").cast("string").alias("key"), "digest", *[c for c in rows.columns if c not in ("doc_id", "digest")])
-    steps = rows.mapInPandas(follow, "key string, digest binary, pos int, size int, a long, b long, open int, more int, name binary")
-    steps = written(steps.select(F.col("key").cast(kind).alias("doc_id"), "digest", "pos", "size", "a", "b", "open", "more", "name"), "lines-tails")
-    by = ["size", "a", "b", "more", "name"]
-    best = steps.groupBy(*by).agg(F.min(_place()).alias("first"), F.max("open").alias("any")).where("any = 1").select(*by, "first")
-    found = steps.where("open = 1").join(best, by).where(_place() > F.col("first")).groupBy("doc_id", "digest", "pos", "size").agg(F.max("more").alias("more"))
-    found = written(found.select("doc_id", "digest", "pos", (F.col("size") + F.col("more")).alias("size")), "lines-longer")
-    dropped(steps, open_)
-    return found
+    named = at.withColumns({"a": first, "b": second}).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return named.select(*_DOC, "pos", "size", "a", "b")
+
+
+def longest(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, digest, pos, size): for each suffix that begins with a run that is long enough and has an earlier copy, the lines of the longest such run."""
+    levels = suffix_ranks(docs)
+    named = written(starts(levels, min_lines, min_words), "lines-named")
+    groups = named.groupBy("size", "a", "b").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = written(groups.select("size", "a", "b", "first", F.monotonically_increasing_id().alias("state")), "lines-groups")
+    begun = named.join(groups, ["size", "a", "b"]).select(*_DOC, "pos", "size", "state", (_place() > F.col("first")).alias("later"))
+    # a suffix takes part from the widest interval that it lies in
+    top = None
+    for k, x in enumerate(levels):
+        x = x.select(*_DOC, "pos", F.lit(k).alias("k"))
+        top = x if top is None else top.unionByName(x)
+    top = top.groupBy(*_DOC, "pos").agg(F.max("k").alias("top"))
+    begun = written(begun.join(top, _at(begun, top)).select(*[begun[c] for c in begun.columns], "top"), "lines-begun")
+    dropped(named, groups)
+    rows: DataFrame | None = None
+    for k in range(len(levels) - 1, -1, -1):
+        fresh = begun.where(F.col("top") == k).drop("top")
+        now, x = (fresh if rows is None else fresh.unionByName(rows)), levels[k]
+        now = written(now.join(x, _at(now, x, now["size"]), "left").select(*[now[c] for c in now.columns], x["rank"].alias("next")), "lines-next")
+        groups = now.where(F.col("next").isNotNull()).groupBy(F.col("state").alias("_s"), F.col("next").alias("_n")).agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        # states are numbered by round, so that all are different
+        number = (F.lit(k + 1).cast("long") * (1 << 56) + F.row_number().over(Window.partitionBy("_part").orderBy("_s", "_n")) * (1 << 12) + F.col("_part"))
+        groups = written(groups.withColumn("_part", F.pmod(F.xxhash64("_s", "_n"), F.lit(1 << 12))).select("_s", "_n", "first", number.alias("_to")), "lines-groups")
+        both = now.join(groups, (now["state"] == groups["_s"]) & (now["next"] == groups["_n"]), "left")
+        deeper = F.struct((F.col("size") + (1 << k)).alias("size"), F.col("_to").alias("state"), F.col("later"))
+        as_it_was = F.struct("size", "state", "later")
+        as_first = F.struct((F.col("size") + (1 << k)).alias("size"), F.col("_to").alias("state"), F.lit(False).alias("later"))
+        to = F.when(F.col("_to").isNull(), F.array(as_it_was)).when(_place() > F.col("first"), F.array(deeper)).otherwise(F.array(as_it_was, as_first))
+        old, rows = rows, written(both.select(*_DOC, "pos", F.explode(to).alias("r")).select(*_DOC, "pos", "r.*"), "lines-rows")
+        dropped(now, groups, *([old] if old is not None else []))
+    dropped(begun, *levels)
+    return rows.where("later").select(*_DOC, "pos", "size")
 
 
 def runs(later: DataFrame) -> DataFrame:
-    """(doc_id, digest, runs): each document's maximal deleted runs as an ascending array of struct<first, last>."""
-    span = F.array_sort(F.collect_list(F.struct(F.col("pos").alias("first"), (F.col("pos") + F.col("size") - 1).alias("last"))))
-    return later.groupBy("doc_id", "digest").agg(span.alias("runs")).withColumn("runs", _merged(F.col("runs")))
+    """(doc_id, digest, runs): each document's deleted runs, joined where they overlap or touch, as an ascending array of struct<first, last>."""
+    before = Window.partitionBy(*_DOC).orderBy("pos", "size").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*_DOC).orderBy("pos", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = later.withColumn("end", F.max(F.col("pos") + F.col("size")).over(before))
+    rows = rows.withColumn("run", F.sum((F.col("end").isNull() | (F.col("pos") > F.col("end"))).cast("int")).over(so_far))
+    spans = rows.groupBy(*_DOC, "run").agg(F.min("pos").alias("first"), (F.max(F.col("pos") + F.col("size")) - 1).alias("last"))
+    return spans.groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def _merged(spans: Column) -> Column:
-    """Ascending spans with those that overlap or touch joined."""
-    empty = F.array().cast("array<struct<first: int, last: int>>")
-
-    def add(done: Column, s: Column) -> Column:
-        top = F.element_at(done, -1)
-        wide = F.struct(top["first"].alias("first"), F.greatest(top["last"], s["last"]).alias("last"))
-        return F.when((F.size(done) > 0) & (top["last"] + 1 >= s["first"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wide))).otherwise(F.concat(done, F.array(s)))
-
-    return F.aggregate(spans, empty, add)
-
-
-def deduped(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
+def deduped(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` without its later copies, and ``lines_deleted`` (int).
 
     A null or empty text stays as it is.  Rows equal in doc_id and text are
     one document and get the same text.  A text all of whose lines are deleted
-    becomes empty.  With ``maximal``, whole maximal runs are deleted, else
-    what is long enough from each of their lines on.  Columns of the new names
-    are replaced.
+    becomes empty.  A very long text takes time and memory in proportion to
+    its lines.  Columns of the new names are replaced.
     """
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "lines_deleted"]
-    gone = runs(windows(docs.select("doc_id", "text"), min_lines, min_words, maximal)).withColumnsRenamed({"doc_id": "_ld_i", "digest": "_ld_t"})
+    gone = runs(longest(docs.select("doc_id", "text"), min_lines, min_words)).withColumnsRenamed({"doc_id": "_ld_i", "digest": "_ld_t"})
     gone = written(gone, "lines-runs")
     rows = docs.select(*kept).withColumn("_ld_d", _digest(F.col("text")))
+    # only texts that may have a run are shuffled
+    hit, rest = likely(rows, ["_ld_d", "doc_id"], gone, ["_ld_t", "_ld_i"])
     # the runs grow with the corpus, so the join is planned for that at every size
-    out = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_ld_i")) & (F.col("_ld_d") == F.col("_ld_t")), "left")
-    flags = F.aggregate("runs", F.array().cast("array<int>"), lambda a, r: F.concat(a, F.sequence(r["first"], r["last"])))
-    doomed = F.when(F.col("runs").isNotNull(), flags)
-    out = out.withColumn("_ld_g", doomed)
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_ld_g"), i))
-    text = F.when(F.col("_ld_g").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], F.coalesce(F.size("_ld_g"), F.lit(0)).alias("lines_deleted"))
+    hit = hit.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_ld_i")) & (F.col("_ld_d") == F.col("_ld_t")), "left")
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans in batches:
+            out = []
+            for t, s in zip(texts, spans, strict=True):
+                if s is not None:
+                    lines, left, at = t.split("\n"), [], 0
+                    for r in s:
+                        left += lines[at : r["first"]]
+                        at = r["last"] + 1
+                    t = "\n".join(left + lines[at:])
+                out.append(t)
+            yield pd.Series(out, dtype=object)
+
+    n = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
+    hit = hit.select(*[cut("text", "runs").alias("text") if c == "text" else F.col(c) for c in kept], F.coalesce(n, F.lit(0)).alias("lines_deleted"))
+    return rest.select(*kept, F.lit(0).alias("lines_deleted")).unionByName(hit)
 
 
 def result(spark, sf_dir: str) -> DataFrame:
@@ -212,28 +213,27 @@ def result(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of maximal long runs of lines; every document stays, with what is left of it (n_chars follows)."""
-    out = deduped(docs, maximal=True)
+    """Deletes later copies of long runs of lines; every document stays, with what is left of it (n_chars follows)."""
+    out = deduped(docs)
     fresh = F.when(F.col("lines_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars")
     return out.select(*[fresh if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
-#: The same without a suffix array: every prefix that is long enough, compared as text.
+#: The same without a suffix array: every prefix that occurs elsewhere is made one line longer, as long as it does.
 ORACLE = f"""
-WITH lines AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
-counted AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines),
-ahead AS (
-  SELECT doc_id, text, pos, words AS w0, line AS l0, {", ".join(f"lead(words, {i}) OVER d AS w{i}, lead(line, {i}) OVER d AS l{i}" for i in range(1, MIN_LINES))}
-  FROM counted WINDOW d AS (PARTITION BY doc_id, text ORDER BY pos)),
-sized AS (
-  SELECT *, CASE {" ".join(f"WHEN {'+'.join(f'w{j}' for j in range(i + 1))} {f'>= {MIN_WORDS}' if i + 1 < MIN_LINES else 'IS NOT NULL'} THEN {i + 1}" for i in range(MIN_LINES))} END AS size FROM ahead WHERE w0 > 0),
-named AS (SELECT *, array_to_string(list_value({", ".join(f"l{i}" for i in range(MIN_LINES))})[1:size], chr(10)) AS name FROM sized WHERE size IS NOT NULL),
-later AS (SELECT *, row_number() OVER (PARTITION BY size, name ORDER BY doc_id NULLS LAST, md5(text), pos) AS n FROM named),
-gone AS (SELECT DISTINCT doc_id, text, unnest(range(pos, pos + size)) AS pos FROM later WHERE n > 1),
+WITH RECURSIVE docs AS (SELECT DISTINCT doc_id, text, md5(text) AS t FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, t, md5(raw) AS line, pos, len(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')) AS words, raw AS l FROM (
+  SELECT doc_id, t, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs)),
+grown AS (
+  SELECT doc_id, t, pos, 1 AS n, words, line AS name, count(*) OVER (PARTITION BY line) AS copies FROM lines WHERE words > 0
+  UNION ALL
+  SELECT g.doc_id, g.t, g.pos, g.n + 1, g.words + l.words, md5(g.name || l.line), count(*) OVER (PARTITION BY md5(g.name || l.line))
+  FROM grown g JOIN lines l ON g.doc_id IS NOT DISTINCT FROM l.doc_id AND g.t = l.t AND l.pos = g.pos + g.n WHERE g.copies > 1),
+later AS (SELECT *, row_number() OVER (PARTITION BY n, name ORDER BY doc_id NULLS LAST, t, pos) AS nth FROM grown),
+gone AS (SELECT DISTINCT doc_id, t, unnest(range(pos, pos + n)) AS pos FROM later WHERE nth > 1 AND (n >= {MIN_LINES} OR words >= {MIN_WORDS})),
 left_over AS (
-  SELECT l.doc_id, l.text, array_to_string(list(l.line ORDER BY l.pos) FILTER (g.pos IS NULL), chr(10)) AS new, count(g.pos) AS deleted
-  FROM lines l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text = g.text AND l.pos = g.pos GROUP BY ALL)
+  SELECT l.doc_id, l.t, array_to_string(list(l.l ORDER BY l.pos) FILTER (g.pos IS NULL), chr(10)) AS new, count(g.pos) AS deleted
+  FROM lines l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.t = g.t AND l.pos = g.pos GROUP BY ALL)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(new, '') END AS text, CAST(coalesce(deleted, 0) AS INTEGER) AS lines_deleted
-FROM documents d LEFT JOIN left_over o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.text = o.text
+FROM documents d LEFT JOIN left_over o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND md5(d.text) = o.t
 """

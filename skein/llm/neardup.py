@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import dropped, written
-from .text import bounded_batches, table
+from .text import bounded_batches, likely, table
 
 SHINGLE, K = 5, 4
 SHORT = 20
@@ -204,7 +204,8 @@ def sequences(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 rows.append((len(seq), seq.tobytes(), parity(seq).tobytes()))
             yield pd.DataFrame(rows, columns=["n", "seq", "parity"])
 
-    texts = _likely(docs.where(F.col("text").isNotNull()).select("doc_id", _node(F.col("text")).alias("node"), "text"), needed, ["node", "doc_id"])
+    by = ["node", "doc_id"]
+    texts, _ = likely(docs.where(F.col("text").isNotNull()).select("doc_id", _node(F.col("text")).alias("node"), "text"), by, needed, by)
     own = F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("t.node") == F.col("o.node"))
     rows = texts.alias("t").join(needed.alias("o"), own, "left_semi").dropDuplicates(["node"])
     return written(rows.select("node", sequence("text").alias("s")).select("node", "s.n", "s.seq", "s.parity"), "neardup-sequences")
@@ -321,20 +322,6 @@ def apart(wide: DataFrame, known: DataFrame, seqs: DataFrame, least: float, bloc
     return out
 
 
-def _likely(rows: DataFrame, needed: DataFrame, by: list[str], bits: int = 24) -> DataFrame:
-    """Rows whose columns ``by`` may be among ``needed``: all that are, and a few others.
-
-    A bitmap of fixed size (at most 2**bits bits, in rows of 64) is broadcast,
-    so that texts that take no part aren't shuffled.
-    """
-    place = F.pmod(F.xxhash64(*by), F.lit(1 << bits))
-    word: Column = F.shiftright(place, 6).cast("int")
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(by)}), {1 << bits}L) % 64 as int))")
-    bitmap = needed.select(word.alias("_nd_word"), bit.alias("_nd_bit")).groupBy("_nd_word").agg(F.bit_or("_nd_bit").alias("_nd_bits"))
-    at = rows.withColumns({"_nd_w": word, "_nd_b": bit})
-    return at.join(F.broadcast(bitmap), (F.col("_nd_w") == F.col("_nd_word")) & (F.col("_nd_b").bitwiseAND(F.col("_nd_bits")) != 0)).select(*rows.columns)
-
-
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, label): the smallest node of each connected component of edges (a, b).
 

@@ -33,6 +33,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def likely(rows: DataFrame, by: list[str], needed: DataFrame, at: list[str], bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose columns ``by`` may be among the columns ``at`` of ``needed`` (all that are, and a few others), and the rest.
+
+    A bitmap of fixed size (at most 2**bits bits, in rows of 64) is broadcast,
+    so that a join of the first part leaves the others unshuffled.
+    """
+    word = lambda c: F.shiftright(F.pmod(F.xxhash64(*c), F.lit(1 << bits)), 6).cast("int")
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(c)}), 64L) as int))")
+    bitmap = needed.select(word(at).alias("_lk_word"), bit(at).alias("_lk_bit")).groupBy("_lk_word").agg(F.bit_or("_lk_bit").alias("_lk_bits"))
+    seen = rows.withColumns({"_lk_w": word(by), "_lk_b": bit(by)}).join(F.broadcast(bitmap), F.col("_lk_w") == F.col("_lk_word"), "left")
+    hit = F.coalesce(F.col("_lk_b").bitwiseAND(F.col("_lk_bits")) != 0, F.lit(False))
+    return seen.where(hit).select(*rows.columns), seen.where(~hit).select(*rows.columns)
+
+
 @functools.cache
 def char_classes() -> np.ndarray:
     """Class bits of every code point."""

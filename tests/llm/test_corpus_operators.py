@@ -32,42 +32,6 @@ def docs(spark, rows):
 # --- line dedup
 
 
-def lines_brute(rows, min_lines, min_words):
-    order = sorted({(i is None, i or 0, hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows if t is not None})
-    seen, out = set(), {}
-    for none, i, _, t in order:
-        lines, gone = t.split("\n"), set()
-        for p in range(len(lines)):
-            if not lines[p].split():
-                continue
-            words = 0
-            for e in range(p, len(lines)):
-                words += len(lines[e].split())
-                if words >= min_words or e - p + 1 >= min_lines:
-                    run = tuple(lines[p : e + 1])
-                    if run in seen:
-                        gone |= set(range(p, e + 1))
-                    seen.add(run)
-                    break
-        out[None if none else i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    return out
-
-
-@pytest.mark.parametrize(("seed", "min_lines"), [(0, 4), (1, 3), (2, 1), (3, 5)])
-def test_line_dedup_brute_force(spark, seed, min_lines):
-    r = random.Random(seed)
-    pool = ["a", "b c", "", "d " * 6, "e"]
-    rows = [(r.choice([None, *range(30)]), None if r.random() < 0.05 else "\n".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for _ in range(40)]
-    rows += rows[:3]
-    want = lines_brute(rows, min_lines, 6)
-    got = linededup.deduped(docs(spark, [(i, t, None) for i, t in rows]), min_lines, 6)
-    assert {"size", "n", "key", "lines_deleted"} <= set(got.columns)
-    got = got.collect()
-    assert len(got) == len(rows)
-    texts = sorted(map(repr, (t if t is None else want[i, t] for i, t in rows)))
-    assert sorted(repr(g["text"]) for g in got) == texts
-
-
 def test_line_dedup_empty_and_stage(spark, tables):
     assert linededup.deduped(docs(spark, [])).count() == 0
     d = tables("documents")
@@ -79,7 +43,7 @@ def maximal_brute(rows, min_lines, min_words):
     order = sorted({(i is None, i or 0, hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows if t is not None})
     places = [(d, p) for d, (*_, t) in enumerate(order) for p in range(len(t.split("\n")))]
     lines, out = [t.split("\n") for *_, t in order], {}
-    gone = [set() for _ in order]
+    gone, found = [set() for _ in order], []
     for n, (d, p) in enumerate(places):
         if not lines[d][p].split():
             continue
@@ -91,22 +55,48 @@ def maximal_brute(rows, min_lines, min_words):
             longest = max(longest, k)
         if longest >= min_lines or sum(len(x.split()) for x in lines[d][p : p + longest]) >= min_words:
             gone[d] |= set(range(p, p + longest))
+            found.append((None if order[d][0] else order[d][1], order[d][2], p, longest))
     for d, (none, i, _, t) in enumerate(order):
         out[None if none else i, t] = "\n".join(x for k, x in enumerate(lines[d]) if k not in gone[d])
-    return out
+    return out, sorted(found, key=repr)
 
 
-@pytest.mark.parametrize(("seed", "min_lines"), [(0, 4), (1, 3), (2, 1), (3, 5)])
+@pytest.mark.parametrize(("seed", "min_lines"), [(0, 4), (1, 3), (2, 1), (3, 5), (4, 2)])
 def test_maximal_runs_brute_force(spark, seed, min_lines):
     r = random.Random(seed)
     pool = ["a", "b c", "", "", "d " * 6, "e"]
-    rows = [(r.choice([None, *range(30)]), None if r.random() < 0.05 else "\n".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for _ in range(40)]
-    want = maximal_brute(rows, min_lines, 6)
-    assert min_lines == 5 or want != lines_brute(rows, min_lines, 6)
-    got = linededup.deduped(docs(spark, [(i, t, None) for i, t in rows]), min_lines, 6, maximal=True).collect()
+    rows = [(r.choice([None, *range(30)]), None if r.random() < 0.05 else "\n".join(r.choice(pool) for _ in range(r.randint(0, 40 if seed == 4 else 12)))) for _ in range(40)]
+    rows += rows[:3] + [(90 + k, "\n".join(["a", "e", "b c", "f"][(i * i // 3 + i // 7) % 4] for i in range(k, 70))) for k in (0, 0, 5)]
+    want, found = maximal_brute(rows, min_lines, 6)
+    d = docs(spark, [(i, t, None) for i, t in rows])
+    assert sorted(((x["doc_id"], x["digest"].hex(), x["pos"], x["size"]) for x in linededup.longest(d, min_lines, 6).collect()), key=repr) == found
+    got = linededup.deduped(d, min_lines, 6)
+    assert {"size", "n", "key", "lines_deleted"} <= set(got.columns)
+    got = got.collect()
     assert sorted(repr(g["text"]) for g in got) == sorted(map(repr, (t if t is None else want[i, t] for i, t in rows)))
 
 
+def test_ranks_are_a_suffix_array(spark):
+    """Ranks of each level order the prefixes as their lines' digests do, and the last level has the longest repeated run."""
+    r = random.Random(3)
+    texts = ["\n".join(r.choice("abc") for _ in range(r.randint(1, 60))) for _ in range(12)] + ["\n".join("xyz" * 11)] * 2
+    rows = list(enumerate(texts))
+    keys = {(i, p): [hashlib.md5(x.encode()).digest() for x in t.split("\n")[p:]] for i, t in rows for p in range(len(t.split("\n")))}
+    levels = linededup.suffix_ranks(docs(spark, [(i, t, None) for i, t in rows]))
+    for k, level in enumerate(levels):
+        got = {(x["doc_id"], x["pos"]): x["rank"] for x in level.collect()}
+        prefix = {p: tuple(v[: 1 << k]) for p, v in keys.items() if len(v) >= 1 << k}
+        times = {}
+        for v in prefix.values():
+            times[v] = times.get(v, 0) + 1
+        assert set(got) == {p for p, v in prefix.items() if times[v] > 1}
+        # ranks of a level are those of its pairs, so of prefixes in the order of the ranks below
+        by_rank = sorted(got, key=got.get)
+        assert len({got[p] for p in got}) == len({prefix[p] for p in got})
+        assert [prefix[p] for p in by_rank] == sorted(prefix[p] for p in got)
+    assert len(levels) == 6
+
+
 def test_stage_deletes_the_tail_of_a_run(spark):
     run = "\n".join(" ".join(f"w{n}_{k}" for k in range(n)) for n in (60, 30, 10, 8)) + "\n\n" + " ".join(f"v{k}" for k in range(9))
     got = linededup.stage(spark, docs(spark, [(1, f"one\n{run}\ntwo", None), (2, f"three\n{run}\nfour", None)]), "").collect()
