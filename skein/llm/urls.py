@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.unionByName(two.withColumn("weight", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, plain: int = 10, most: int = 60) -> DataFrame:
+def propagated(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, plain: int = 8, most: int = 60) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) over edges (src, dst, weight).
 
     Both walks run in one table keyed by walk and host, distrust over the
@@ -102,11 +103,13 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolera
     walks = edges.select(F.lit(0).alias("walk"), "src", "dst", "weight").unionByName(edges.select(F.lit(1).alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = walks.groupBy("walk", "src").agg(F.sum("weight").alias("total"))
     walks = written(walks.join(out, ["walk", "src"]).select("walk", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "urls-walks")
+    # the edges are dealt and sorted by their source once, and no round shuffles them; lost blocks are read from the table again
+    dealt = walks.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "walk", "src").sortWithinPartitions("walk", "src").persist(StorageLevel.DISK_ONLY)
     start = seeds.select(F.posexplode(F.array("trust", "distrust")).alias("walk", "mass"), "host").where(F.col("mass") > 0)
     start = written(start.select("walk", "host", (F.col("mass") * F.lit(1 - damping)).alias("mass")), "urls-seeds")
 
     def step(state: DataFrame) -> DataFrame:
-        moved = state.withColumnRenamed("host", "src").join(walks, ["walk", "src"]).select("walk", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * F.lit(damping)).alias("mass"))
+        moved = state.withColumnRenamed("host", "src").join(dealt.hint("merge"), ["walk", "src"]).select("walk", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * F.lit(damping)).alias("mass"))
         return moved.unionByName(start).groupBy("walk", "host").agg(F.sum("mass").alias("mass"))
 
     state, old = start, []
@@ -132,6 +135,7 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolera
         raise RuntimeError(f"trust has not settled after {most} blocks of rounds")
     walk = lambda k: F.sum(F.when(F.col("walk") == k, F.greatest("m2", F.lit(0.0))).otherwise(0.0))
     ranks = written(now.groupBy("host").agg(walk(0).alias("trust"), walk(1).alias("distrust")), "urls-masses")
+    dealt.unpersist()
     dropped(*old, start, walks)
     return ranks
 
@@ -167,8 +171,7 @@ def kept_pages(pages: DataFrame, **how) -> DataFrame:
 
 
 def result(spark, sf_dir: str) -> DataFrame:
-    out = judged(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "host", "path", "rule", "verdict", *[F.round(c, 2).alias(c) for c in ("trust", "distrust")])
+    return judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 #: The same by plain power series: the masses that take i steps, for 220 steps (0.85**220 is 3e-16).
@@ -191,6 +194,5 @@ term(i, walk, host, mass) AS (
   SELECT 0, walk, host, mass * 0.15::DOUBLE FROM (SELECT 0 AS walk, host, trust AS mass FROM hosts UNION ALL SELECT 1, host, distrust FROM hosts) WHERE mass > 0
   UNION ALL SELECT min(i) + 1, walk, dst, sum(mass * share * 0.85::DOUBLE) FROM term JOIN walks USING (walk) WHERE host = src AND i < 220 GROUP BY walk, dst),
 masses AS (SELECT host, coalesce(sum(mass) FILTER (walk = 0), 0) AS trust, coalesce(sum(mass) FILTER (walk = 1), 0) AS distrust FROM term GROUP BY 1)
-SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN m.trust + m.distrust > 0 AND round(m.distrust / (m.trust + m.distrust), 6) > 0.6 THEN 'block' ELSE 'allow' END) AS verdict,
-  round(coalesce(m.trust, 0), 2) AS trust, round(coalesce(m.distrust, 0), 2) AS distrust FROM ruled LEFT JOIN masses m USING (host)
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN m.trust + m.distrust > 0 AND round(m.distrust / (m.trust + m.distrust), 6) > 0.6 THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN masses m USING (host)
 """
