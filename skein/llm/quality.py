@@ -1,11 +1,18 @@
 """Quality rules: counts of every text, and lines labelled by a linear-chain CRF.
 
 The CRF has two labels, content (1) and boilerplate (0).  It is trained here
-by gradient ascent on the log likelihood, from a bounded sample of whole
-documents (``max_docs``) of the labels table: the lines of a document of good
-quality count as content, those of a bad one as boilerplate.  Viterbi decoding
-labels the lines of every text, and the share of its words in content lines
-decides whether it is kept.
+from a bounded sample of whole documents of the labels table.  The table says
+how good a document is, not which of its lines are; those labels are latent
+and found by expectation and maximisation (:func:`fit`): first each line is
+scored by itself, by the quality of the documents that lines like it are in;
+then Viterbi decoding, leaning towards the document's quality, labels every
+line of the sample, and the chain is trained by gradient ascent on the log
+likelihood, in turns.  So a good document may have boilerplate and a bad one
+content.  As labelled documents are mostly of one kind throughout, a chain
+trained on them would learn that labels never change; so it is trained on
+texts spliced from stretches of one to eight lines of documents of both
+qualities, as often the one as the other, as on pages that mix the two.  Viterbi decoding labels the lines of every
+text, and the share of its words in content lines decides whether it is kept.
 """
 
 from __future__ import annotations
@@ -110,9 +117,9 @@ class Crf:
     move: np.ndarray
     begin: np.ndarray
 
-    def viterbi(self, x: np.ndarray) -> np.ndarray:
-        """The best labels of a text's lines."""
-        score = (x @ self.emit).tolist()
+    def viterbi(self, x: np.ndarray, lean: float = 0.0) -> np.ndarray:
+        """The best labels of a text's lines; ``lean`` is added to the score of content for each line."""
+        score = (x @ self.emit + lean).tolist()
         if not score:
             return np.zeros(0, np.int8)
         (m00, m01), (m10, m11) = self.move.tolist()
@@ -131,21 +138,19 @@ class Crf:
         return np.array(out[::-1], np.int8)
 
 
-def train(sequences: list[tuple[np.ndarray, int]], piece: int = 32, rounds: int = 150, l2: float = 1e-3) -> Crf | None:
-    """Fits a CRF to texts' line features and their label; None unless both labels occur.
+def train(sequences: list[tuple[np.ndarray, np.ndarray, float]], chain: bool = True, piece: int = 32, rounds: int = 120, l2: float = 1e-3, l2_chain: float = 1e-2) -> Crf:
+    """Fits a CRF to texts' line features, the lines' labels and the texts' weights; without ``chain`` lines are independent.
 
     For training only, long texts are cut into pieces of ``piece`` lines.
-    Both labels weigh the same in the likelihood.
     """
-    if len({y for _, y in sequences}) < 2:
-        return None
-    parts = [(x[i : i + piece], y) for x, y in sequences for i in range(0, len(x), piece)]
-    size = max(len(x) for x, _ in parts)
+    parts = [(x[i : i + piece], y[i : i + piece], w) for x, y, w in sequences for i in range(0, len(x), piece)]
+    size = max(len(x) for x, _, _ in parts)
     X = np.zeros((len(parts), size, FEATURES))
-    valid, Y = np.zeros((len(parts), size), bool), np.array([y for _, y in parts])
-    for i, (x, _) in enumerate(parts):
-        X[i, : len(x)], valid[i, : len(x)] = x, True
-    weight = np.where(Y == 1, 0.5 / (Y == 1).sum(), 0.5 / (Y == 0).sum())
+    valid, Y = np.zeros((len(parts), size), bool), np.zeros((len(parts), size), np.int8)
+    for i, (x, y, _) in enumerate(parts):
+        X[i, : len(x)], Y[i, : len(x)], valid[i, : len(x)] = x, y, True
+    weight = np.array([w for _, _, w in parts])
+    weight /= weight.sum()
     theta = np.zeros(FEATURES + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
@@ -163,22 +168,69 @@ def train(sequences: list[tuple[np.ndarray, int]], piece: int = 32, rounds: int
             beta[:, i] = np.where(valid[:, i + 1, None], nxt, 0.0)
         p = np.exp(alpha + beta - z[:, None, None]) * valid[:, :, None]
         both = np.exp(alpha[:, :-1, :, None] + move + (s + beta)[:, 1:, None, :] - z[:, None, None, None]) * valid[:, 1:, None, None]
-        own = (np.arange(2) == Y[:, None])[:, None, :] * valid[:, :, None]
+        own = (np.arange(2) == Y[:, :, None]) * valid[:, :, None]
         g = np.zeros_like(theta)
         g[:FEATURES] = np.einsum("n,nt,ntf->f", weight, own[:, :, 1] - p[:, :, 1], X)
         g[FEATURES : FEATURES + 4] = (np.einsum("n,ntab->ab", weight, (own[:, :-1, :, None] * own[:, 1:, None, :]) - both)).ravel()
         g[FEATURES + 4 :] = weight @ (own[:, 0] - p[:, 0])
-        g -= l2 * theta
+        g[:FEATURES] -= l2 * theta[:FEATURES]
+        g[FEATURES:] = g[FEATURES:] - l2_chain * theta[FEATURES:] if chain else 0.0
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Crf(theta[:FEATURES].copy(), theta[FEATURES : FEATURES + 4].reshape(2, 2).copy(), theta[FEATURES + 4 :].copy())
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, seed: int = 5) -> Crf | None:
+def spliced(sequences: list[tuple[np.ndarray, int]], labels: list[np.ndarray], piece: int = 32, most: int = 100_000, seed: int = 9) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Texts of ``piece`` lines from stretches of one to eight lines of good and bad documents, in equal parts; ``most`` lines at most."""
+    rng = np.random.default_rng(seed)
+    parts: tuple[list, list] = ([], [])
+    for (x, quality), y in zip(sequences, labels, strict=True):
+        i = 0
+        while i < len(x):
+            n = int(rng.integers(1, 9))
+            parts[quality].append((x[i : i + n], y[i : i + n]))
+            i += n
+    order = [rng.permutation(len(p)) for p in parts]
+    out, now, size, at, total = [], [], 0, [0, 0], min(most, 2 * max(sum(len(x) for x, _ in p) for p in parts))
+    while total > 0:
+        q = int(rng.integers(2))
+        now.append(parts[q][order[q][at[q] % len(order[q])]])
+        at[q] += 1
+        size += len(now[-1][0])
+        total -= len(now[-1][0])
+        if size >= piece or total <= 0:
+            out.append((np.concatenate([x for x, _ in now]), np.concatenate([y for _, y in now]), 1.0))
+            now, size = [], 0
+    return out
+
+
+def fit(sequences: list[tuple[np.ndarray, int]], turns: int = 2, lean: float = 1.0) -> Crf | None:
+    """Fits a CRF to texts' line features and their quality (1 good, 0 bad); None unless both occur.
+
+    Both qualities weigh the same.  If a turn leaves one label only, the lines
+    keep the labels that they had.
+    """
+    n = [sum(len(x) for x, y in sequences if y == k) for k in (0, 1)]
+    if not all(n):
+        return None
+    labels = [np.full(len(x), y, np.int8) for x, y in sequences]
+    crf = train([(x, own, 1 / n[y]) for (x, y), own in zip(sequences, labels, strict=True)], chain=False)
+    for _ in range(turns):
+        again = [crf.viterbi(x, lean if y else -lean) for x, y in sequences]
+        if len({int(v) for own in again for v in np.unique(own)}) < 2:
+            break
+        labels = again
+        crf = train(spliced(sequences, labels), piece=40)
+    return crf
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: int = 1024, seed: int = 5) -> Crf | None:
     """Trains on about ``max_docs`` labelled documents (half of each quality, if there are as many), drawn by a hash of doc_id.
 
     The drawn ids are broadcast: they are ``max_docs`` and a few, whatever the
-    tables hold.  Rows with a null text, id or label are no examples.  None if a quality is missing.
+    tables hold.  Rows with a null text, id or label are no examples, nor are
+    texts of more than ``max_lines`` lines, so the features that come to the
+    driver are bounded.  None if a quality is missing.
     """
     bounded_batches(docs.sparkSession)
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -186,14 +238,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, seed: int =
     if len(n) < 2:
         return None
     share = F.when(F.col("quality") == 1, fraction_of(n[1], max_docs // 2)).otherwise(fraction_of(n[0], max_docs // 2))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(marked.where(drawn(share, F.col("doc_id"), seed=seed))), "doc_id").select("doc_id", "text", "quality")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(marked.where(drawn(share, F.col("doc_id"), seed=seed))), "doc_id")
+    rows = rows.where(F.regexp_count("text", F.lit("\n")) < max_lines).select("doc_id", "text", "quality")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             yield pd.DataFrame({"doc_id": df["doc_id"], "quality": df["quality"], "x": [counted(t).features.tobytes() for t in df["text"]]})
 
     got = rows.mapInPandas(features, "doc_id long, quality int, x binary").toArrow().to_pandas().sort_values(["doc_id", "x"])
-    return train([(np.frombuffer(x, np.float32).reshape(-1, FEATURES), y) for x, y in zip(got["x"], got["quality"], strict=True) if x])
+    return fit([(np.frombuffer(x, np.float32).reshape(-1, FEATURES), int(y)) for x, y in zip(got["x"], got["quality"], strict=True) if x])
 
 
 def judged(docs: DataFrame, model: Crf | None, least: float = 0.5) -> DataFrame:

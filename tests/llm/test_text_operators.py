@@ -118,6 +118,49 @@ def test_quality_learns_and_keeps_good_documents(spark, tables):
     assert np.mean([r["kept"] for r in got if r["quality"] == 0]) <= 0.1
 
 
+def mixed_texts(tables, seed, n=200):
+    """Texts whose lines come in stretches from a good and from a bad document, with the true label of each line."""
+    r = np.random.default_rng(seed)
+    d = tables("documents").join(tables("labels"), "doc_id").orderBy("doc_id").collect()
+    lines = {k: [x for t in d if t["quality"] == k for x in t["text"].split("\n") if len(x.split()) >= 5] for k in (0, 1)}
+    out = []
+    for _ in range(n):
+        of, label = [], int(r.integers(2))
+        for _ in range(int(r.integers(2, 6))):
+            of += [(lines[label][int(r.integers(len(lines[label])))], label) for _ in range(int(r.integers(2, 6)))]
+            label = 1 - label
+        out.append(of)
+    return out
+
+
+def test_quality_labels_change_within_a_text(spark, tables):
+    """On texts of content and boilerplate the lines' labels are found, and the shares spread between 0 and 1."""
+    model = quality.learn(tables("documents"), tables("labels"))
+    texts = mixed_texts(tables, 7)
+    right = [label == got for of in texts for (_, label), got in zip(of, model.viterbi(quality.counted("\n".join(x for x, _ in of)).features), strict=True)]
+    assert np.mean(right) >= 0.9
+    rows = quality.judged(docs(spark, list(enumerate("\n".join(x for x, _ in of) for of in texts))), model).collect()
+    share = {i: sum(len(x.split()) * y for x, y in of) / sum(len(x.split()) for x, _ in of) for i, of in enumerate(texts)}
+    got = np.array([r["content_share"] for r in rows])
+    assert np.mean(np.abs(got - [share[r["doc_id"]] for r in rows]) <= 0.2) >= 0.85
+    assert np.mean((got > 0.1) & (got < 0.9)) >= 0.7 and np.std(got) > 0.1
+
+
+def test_chain_gradient_finds_the_transitions():
+    """Sequences drawn from a chain that alternates: training finds that labels change, and without the chain it can't."""
+    rng = np.random.default_rng(2)
+    seqs = []
+    for _ in range(80):
+        y = (np.arange(12) + rng.integers(2)) % 2
+        x = rng.normal(size=(12, quality.FEATURES))
+        x[:, 3] = y + rng.normal(size=12)
+        seqs.append((x.astype(np.float32), y.astype(np.int8), 1.0))
+    crf, alone = quality.train(seqs), quality.train(seqs, chain=False)
+    right = lambda m: np.mean([(m.viterbi(x) == y).mean() for x, y, _ in seqs])
+    assert crf.move[0, 1] > crf.move[0, 0] and crf.move[1, 0] > crf.move[1, 1] and not alone.move.any()
+    assert right(crf) > right(alone) + 0.1
+
+
 def test_quality_odd_tables(spark, tables):
     model = quality.learn(tables("documents"), tables("labels"))
     assert quality.judged(docs(spark, ODD), model).count() == len(ODD)
