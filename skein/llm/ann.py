@@ -1,18 +1,20 @@
-"""Nearest neighbours by inner product with additive quantisation.
+"""Nearest neighbours by inner product or Euclidean distance with additive quantisation.
 
 A vector is approximated by the sum of one full-dimensional codeword from each
 codebook.  The codebooks are learned one after another on what the earlier
 ones leave over (k-means on a bounded sample, ``sample`` rows); a vector's
 codes are found by beam search over them, and the squared norm of the sum is
 stored beside the codes.  A query's inner products with all codewords form a
-lookup table; the sum of a vector's entries is its approximate score (less
-half the stored norm for Euclidean search).  The best ``depth`` of each block
+lookup table; the sum of a vector's entries is its approximate score, less
+half the stored norm for Euclidean search, where the norm of the sum stands
+for that of the vector.  The best ``depth`` of each block
 of the index are scored exactly, in double precision, and the best ``k`` over
 all blocks are the result.
 
 Every row is indexed.  Equal vectors inside a block are scored once, so a
 large group of copies neither fills the shortlist nor costs more; the copies
-come back with ties going to the smaller id.  Queries are dealt into blocks of
+come back with ties going to the smaller id.  Rows with a query's own id are
+left out before anything is cut off, however often the id is repeated.  Queries are dealt into blocks of
 at most about ``query_block`` rows, each of which is sent to the executors and
 compared with the whole index, block by block.
 """
@@ -119,28 +121,39 @@ class _Best:
         self.score, self.id = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def _block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query: np.ndarray, luts: np.ndarray, best: _Best, depth: int) -> None:
-    """Adds a block of the index to the best; needs ascending ids."""
-    k = best.k + 1  # a query itself may take one place
+def _block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, asked: np.ndarray, query: np.ndarray, luts: np.ndarray, best: _Best, depth: int, euclidean: bool) -> None:
+    """Adds a block of the index to the best; needs ascending ids.
+
+    Of equal vectors twice k rows are enough, k of each id at most: k are left
+    for a query whose own id some of them have.
+    """
+    k, none = best.k, np.iinfo(np.int64).max
     _, first, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+
+    def numbered(*by: np.ndarray) -> np.ndarray:
+        """Of rows sorted by ``by``, each one's number among those that are equal."""
+        at = np.arange(len(by[0]))
+        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in by], axis=0)])
+        return at - np.maximum.accumulate(np.where(new, at, 0))
+
     order = np.argsort(group, kind="stable")
-    n = np.bincount(group)
-    begin = np.cumsum(n) - n
-    rank = np.arange(len(ids)) - begin[group[order]]
-    copies = np.full((len(first), min(k, int(n.max()))), np.iinfo(np.int64).max)
-    few = rank < k
-    copies[group[order][few], rank[few]] = ids[order][few]
+    order = order[numbered(group[order], ids[order]) < k]
+    rank = numbered(group[order])
+    order, rank = order[rank < 2 * k], rank[rank < 2 * k]
+    copies = np.full((len(first), int(rank.max()) + 1), none)
+    copies[group[order], rank] = ids[order]
     x = x[first].astype(np.float64)
-    score = approximate(luts, codes[first]).T
+    half = (x * x).sum(1) / 2 if euclidean else np.zeros(len(x))
+    score = approximate(luts, codes[first]).T - (norms[first] / 2 if euclidean else 0)
     d = min(depth, len(first))
     near = np.argpartition(-score, d - 1, axis=1)[:, :d]
     for q in range(0, len(query), 256):
-        at = near[q : q + 256]
-        exact = np.einsum("qd,qnd->qn", query[q : q + 256], x[at])
+        at, own = near[q : q + 256], asked[q : q + 256]
+        exact = np.einsum("qd,qnd->qn", query[q : q + 256], x[at]) - half[at]
         part = copies[at]
         sub = _Best(len(at), k)
         wide = np.repeat(exact[:, :, None], part.shape[2], 2)
-        sub.add(np.where(part == np.iinfo(np.int64).max, -np.inf, wide).reshape(len(at), -1), part.reshape(len(at), -1))
+        sub.add(np.where((part == none) | (part == own[:, None, None]), -np.inf, wide).reshape(len(at), -1), part.reshape(len(at), -1))
         old = _Best(0, best.k)
         old.score, old.id = best.score[q : q + 256], best.id[q : q + 256]
         old.add(sub.score, sub.id)
@@ -154,14 +167,19 @@ def usable(vector: str, dim: int) -> Column:
     return F.coalesce((F.size(c) == dim) & F.forall(c, finite) & F.exists(c, lambda v: v != 0), F.lit(False))
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, books: int = 20, words: int = 256, beam: int = 2, sample: int = 8192, depth: int = 192, query_block: int = 4096, block: int = 8192, seed: int = 7) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, books: int = 20, words: int = 256, beam: int = 2, sample: int = 8192, depth: int = 192, query_block: int = 4096, block: int = 8192, seed: int = 7, metric: str = "inner") -> DataFrame:
     """(query_id, rank, vec_id, score) of every query's ``k`` nearest rows of ``rows`` (vec_id, embedding) but itself.
 
     Rows with a null id take no part, nor do vectors that are null, zero, of
     another dimension than most, or hold null or non-finite components.  If an
     id is repeated, each of its rows counts as a candidate of its own for
-    others and as one query.  Without queries or vectors the result is empty.
+    others, and its smallest vector (by its bytes) as the one query.  Without
+    queries or vectors the result is empty.  ``score`` is the inner product,
+    or with the metric ``euclidean`` the squared distance, negated.
     """
+    if metric not in ("inner", "euclidean"):
+        raise ValueError(f"unknown metric {metric}")
+    euclidean = metric == "euclidean"
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     dims = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -188,24 +206,25 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, books: int = 20, word
 
     coded = written(rows.withColumn("is_query", F.coalesce("is_query", F.lit(False))).mapInPandas(index, "vec_id long, is_query boolean, x binary, codes binary, norm float"), "ann-index")
     blocks = -(-total["q"] // query_block)
-    asked = coded.where("is_query").select("vec_id", "x").dropDuplicates(["vec_id"])
+    asked = coded.where("is_query").groupBy("vec_id").agg(F.min("x").alias("x"))
 
     def compare(query: "Broadcast") -> "Callable":  # noqa: F821
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = query.value
             luts = np.ascontiguousarray((model.value.flat.astype(np.float64) @ q.T).reshape(books, words, len(q)).astype(np.float32))
-            best = _Best(len(q), k + 1)
+            best = _Best(len(q), k)
             for df in batches:
                 df = df.sort_values("vec_id")
                 for i in range(0, len(df), block):
                     part = df.iloc[i : i + block]
                     x = np.frombuffer(b"".join(part["x"]), np.float64).reshape(len(part), dim)
                     codes = np.frombuffer(b"".join(part["codes"]), np.uint8).reshape(len(part), books)
-                    _block(part["vec_id"].to_numpy(), x, codes, q, luts, best, depth)
-            has = best.score > -np.inf
-            has &= best.id != ids[:, None]
-            at, col = np.nonzero(has)
-            yield pd.DataFrame({"query_id": ids[at], "vec_id": best.id[at, col], "score": best.score[at, col]})
+                    _block(part["vec_id"].to_numpy(), x, codes, part["norm"].to_numpy(), ids, q, luts, best, depth, euclidean)
+            at, col = np.nonzero(best.score > -np.inf)
+            score = best.score[at, col]
+            if euclidean:
+                score = 2 * score - (q * q).sum(1)[at]
+            yield pd.DataFrame({"query_id": ids[at], "vec_id": best.id[at, col], "score": score})
 
         return run
 
@@ -216,7 +235,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, books: int = 20, word
         if not len(part):
             continue
         query = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), np.frombuffer(b"".join(part["x"]), np.float64).reshape(len(part), dim)))
-        hits = coded.select("vec_id", "x", "codes").mapInPandas(compare(query), "query_id long, vec_id long, score double")
+        hits = coded.select("vec_id", "x", "codes", "norm").mapInPandas(compare(query), "query_id long, vec_id long, score double")
         # ids of one query that repeat are rows of their own, so the rank is over rows
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -482,10 +482,12 @@ def test_equal_rows_share(spark):
 # --- search
 
 
-def test_search_recall_and_exact_scores(spark, tables):
-    e = tables("embeddings").toPandas().sort_values("vec_id")
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_search_recall_and_exact_scores(spark, scale):
+    folder = f"/root/testdata/{scale}"
+    e = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas().sort_values("vec_id")
     x, ids = np.stack(e["embedding"]).astype(float), e["vec_id"].to_numpy()
-    got = ann.result(spark, SF).toPandas()
+    got = ann.result(spark, folder).toPandas()
     hits = 0
     for i in np.flatnonzero(ids % 20 == 0):
         s = x @ x[i]
@@ -509,6 +511,32 @@ def test_search_ties_and_odd_vectors(spark):
     assert ann.search(d.where("false"), F.lit(True)).count() == 0 and ann.search(d, F.lit(False)).count() == 0
 
 
+def test_search_leaves_out_own_ids_however_often_repeated(spark):
+    """One partition with 31 rows of query 0, some of another vector, and other ids equal to it."""
+    rows = [(0, [1.0, 0.5])] * 31 + [(0, [0.9, 0.9])] * 25 + [(7, [1.0, 0.5])] * 3 + [(9, [0.1, 0.2]), (20, [1.0, 0.5])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = ann.search(d, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect()
+    assert [g["vec_id"] for g in got if g["query_id"] == 0] == [7, 7, 7, 20, 9]
+    assert [(g["vec_id"], round(g["score"], 9)) for g in got if g["query_id"] == 20] == [(0, 1.35)] * 5
+
+
+def test_search_by_distance(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8)) * rng.uniform(0.2, 3, size=(400, 1))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(d, F.col("vec_id") % 20 == 0, k=10, metric="euclidean", depth=60).toPandas()
+    hits = 0
+    for i in range(0, 400, 20):
+        dist = ((x - x[i]) ** 2).sum(1)
+        dist[i] = np.inf
+        g = got[got["query_id"] == i].sort_values("rank")
+        assert np.allclose(g["score"], -dist[g["vec_id"]])
+        hits += len(set(g["vec_id"]) & set(np.argsort(dist)[:10]))
+    assert hits >= 0.9 * 200
+    with pytest.raises(ValueError):
+        ann.search(d, F.lit(True), metric="cosine")
+
+
 def test_search_in_blocks_of_queries(spark, tables):
     e = tables("embeddings").select("vec_id", "embedding").limit(300)
     one = ann.search(e, F.col("vec_id") % 20 == 0, k=3, books=4, words=16, depth=300)
