@@ -15,7 +15,8 @@ record, nothing of the payload is kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .text import bounded_batches, table
+from .text import BATCH_BYTES, bounded_batches, likely, table
 
 
 @dataclass
@@ -45,15 +46,23 @@ def _above(below: DataFrame, archive: Column, node: Column) -> DataFrame:
 def leaves(records: DataFrame) -> DataFrame:
     """Records (archive, offset, payload) hashed: (archive, node, length, hash), node being the offset.
 
-    A null payload counts as a record of no bytes whose hash is that of the
-    empty string; a null archive or offset counts as 0.  Records that start at
-    the same place are hashed together, in the order of their hashes.
+    Records that come with ``length`` and ``hash`` (sha256, hexadecimal) need
+    no payload.  A null payload counts as a record of no bytes whose hash is
+    that of the empty string; a null archive or offset counts as 0.  Records
+    that start at the same place, however many, are hashed together without
+    regard to their order: by their number and the sums of the four quarters
+    of their hashes, so they are never gathered.
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    rows = records.select(zero("archive").alias("archive"), zero("offset").alias("node"), F.coalesce(F.length("payload"), F.lit(0)).cast("long").alias("length"), F.sha2(F.coalesce("payload", F.lit(b"")), 256).alias("hash"))
-    several = F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ";"), 256)
-    hash_ = F.when(F.count(F.lit(1)) == 1, F.min("hash")).otherwise(several)
-    return written(rows.groupBy("archive", "node").agg(F.sum("length").alias("length"), hash_.alias("hash")), "fixity-records")
+    if {"length", "hash"} <= set(records.columns):
+        length, hash_ = zero("length"), F.col("hash")
+    else:
+        length, hash_ = F.coalesce(F.length("payload"), F.lit(0)).cast("long"), F.sha2(F.coalesce("payload", F.lit(b"")), 256)
+    rows = records.select(zero("archive").alias("archive"), zero("offset").alias("node"), length.alias("length"), hash_.alias("hash"))
+    quarters = [F.sum(F.conv(F.substring("hash", i, 16), 16, 10).cast("decimal(20,0)")) for i in (1, 17, 33, 49)]
+    several = F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[q.cast("string") for q in quarters]), 256)
+    one = F.when(F.count(F.lit(1)) == 1, F.min("hash")).otherwise(several)
+    return written(rows.groupBy("archive", "node").agg(F.sum("length").alias("length"), one.alias("hash")), "fixity-records")
 
 
 def tree(leaf: DataFrame, span: int = 1 << 16, fanout: int = 16, tall: tuple[int, int] | None = None) -> Replica:
@@ -115,37 +124,115 @@ def audit(a: DataFrame, b: DataFrame, span: int = 1 << 16, fanout: int = 16) ->
     return wrong.select("archive", F.col("node").alias("offset"), "length_a", "length_b", "hash_a", "hash_b", status.alias("status"))
 
 
+def _rendered(pages: DataFrame, per_archive: int) -> DataFrame:
+    """(page_id, archive, payload) of pages as WARC response records."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    page = F.coalesce(F.col("page_id"), F.lit(0)).cast("long")
+    body = text("html").cast("binary")
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), page.cast("string"), F.lit(">\r\nWARC-Target-URI: "), text("url"), F.lit("\r\nContent-Length: "), F.length(body).cast("string"), F.lit("\r\n\r\n"))
+    return pages.select(page.alias("page_id"), F.floor(page / per_archive).cast("long").alias("archive"), F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary")).alias("payload"))
+
+
+def _offset(length: Column, *by: str) -> Column:
+    """Where a record starts in its archive."""
+    order = Window.partitionBy("archive").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(length).over(order), F.lit(0)).cast("long")
+
+
 def warc_records(pages: DataFrame, per_archive: int = 512) -> DataFrame:
-    """Pages (page_id, url, html) as WARC response records (archive, offset, page_id, payload).
+    """Pages (page_id, url, html) as WARC response records (archive, offset, page_id, payload), for writing.
 
     Pages go to archives of ``per_archive`` ids each and follow each other by
     id (then url and html).  A null url or html counts as empty, a null id as 0.
     """
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    page = F.coalesce(F.col("page_id"), F.lit(0)).cast("long")
-    body = text("html").cast("binary")
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), page.cast("string"), F.lit(">\r\nWARC-Target-URI: "), text("url"), F.lit("\r\nContent-Length: "), F.length(body).cast("string"), F.lit("\r\n\r\n"))
-    rows = pages.select(page.alias("page_id"), F.floor(page / per_archive).cast("long").alias("archive"), F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary")).alias("payload"))
-    order = Window.partitionBy("archive").orderBy("page_id", "payload").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.length("payload")).over(order), F.lit(0)).cast("long")).select("archive", "offset", "page_id", "payload")
+    rows = _rendered(pages, per_archive)
+    return rows.withColumn("offset", _offset(F.length("payload"), "page_id", "payload")).select("archive", "offset", "page_id", "payload")
+
+
+def replicas(pages: DataFrame, damage: Callable[[Column, Column], Column], lost: Column, per_archive: int = 512) -> tuple[DataFrame, DataFrame]:
+    """The records of :func:`warc_records` hashed (archive, offset, length, hash), as they are and in a replica with damage.
+
+    Payloads are hashed where they are read, so none is shuffled, but those of
+    pages with a repeated id, whose order they decide.
+    """
+    rows = _rendered(pages, per_archive)
+    several = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("page_id")
+    sha = lambda c: F.sha2(c, 256)
+    hit, rest = likely(rows, ["page_id"], several, ["page_id"])
+    narrow = lambda r, tie: r.select("page_id", "archive", tie.cast("binary").alias("_fx_tie"), F.length("payload").cast("long").alias("length"), sha(F.col("payload")).alias("a"), sha(damage(F.col("page_id"), F.col("payload"))).alias("b"))
+    narrow = narrow(hit, F.col("payload")).unionByName(narrow(rest, F.lit(None)))
+    placed = written(narrow.withColumn("offset", _offset(F.col("length"), "page_id", "_fx_tie")).select("page_id", "archive", "offset", "length", "a", "b"), "fixity-placed")
+    return placed.select("archive", "offset", "length", F.col("a").alias("hash")), placed.where(~lost).select("archive", "offset", "length", F.col("b").alias("hash"))
+
+
+def _unpacked(raw: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes in bounded pieces; gzip, one member after another, is inflated."""
+    if raw[:2] != b"\x1f\x8b":
+        for i in range(0, len(raw), piece):
+            yield raw[i : i + piece]
+        return
+    view = memoryview(raw)
+    while view[:2] == b"\x1f\x8b":
+        stream, at = zlib.decompressobj(31), 0
+        while not stream.eof and at < len(view):
+            rest = view[at : at + piece]
+            at += len(rest)
+            while True:
+                yield stream.decompress(rest, piece)
+                rest = stream.unconsumed_tail
+                if not rest:
+                    break
+        view = view[at - len(stream.unused_data) :] if stream.eof else view[:0]
+
+
+def records_of(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, record) of a WARC file, offsets in the uncompressed file; a record without its end is taken as far as it goes."""
+    buffer, start, pieces = bytearray(), 0, _unpacked(raw)
+
+    def more() -> bool:
+        part = next(pieces, None)
+        buffer.extend(part or b"")
+        return part is not None
+
+    while buffer or more():
+        at = 0
+        while (end := buffer.find(b"\r\n\r\n", at)) < 0:
+            at = max(0, len(buffer) - 3)
+            if not more():
+                break
+        if end < 0:
+            stop = len(buffer)
+        else:
+            sizes = [int(x.split(b":")[1]) for x in bytes(buffer[:end]).split(b"\r\n") if x.lower().startswith(b"content-length:") and x.split(b":")[1].strip().isdigit()]
+            stop = end + 4 + (sizes[0] if sizes else 0) + 4
+            while len(buffer) < stop and more():
+                pass
+            stop = min(stop, len(buffer))
+        if stop:
+            yield start, bytes(buffer[:stop])
+        del buffer[:stop]
+        start += stop
 
 
 def read_warc(spark: SparkSession, paths: dict[int, str] | list[str]) -> DataFrame:
-    """Uncompressed WARC files, one archive number each, as records (archive, offset, payload); a record without its end is taken as far as it goes."""
+    """WARC files, plain or gzip, one archive number each, as records (archive, offset, payload).
+
+    A file is one row of Spark's binary reader, so 2 GB compressed is its
+    limit; inflated it may be larger, and records leave in bounded batches.
+    """
     numbered = paths if isinstance(paths, dict) else dict(enumerate(paths))
     bounded_batches(spark)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for number, raw in zip(df["archive"], df["content"], strict=True):
-                at, rows = 0, []
-                while at < len(raw):
-                    end = raw.find(b"\r\n\r\n", at)
-                    head = raw[at : end if end >= 0 else len(raw)]
-                    sizes = [int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:") and x.split(b":")[1].strip().isdigit()]
-                    stop = min(len(raw), end + 4 + (sizes[0] if sizes else 0) + 4) if end >= 0 else len(raw)
-                    rows.append((number, at, raw[at:stop]))
-                    at = stop
+                rows, size = [], 0
+                for at, record in records_of(raw):
+                    rows.append((number, at, record))
+                    size += len(record)
+                    if size >= BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=["archive", "offset", "payload"])
+                        rows, size = [], 0
                 yield pd.DataFrame(rows, columns=["archive", "offset", "payload"])
 
     found = None
@@ -156,16 +243,14 @@ def read_warc(spark: SparkSession, paths: dict[int, str] | list[str]) -> DataFra
     return spark.createDataFrame([], schema) if found is None else found.mapInPandas(split, schema)
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A second replica for the query: one byte is overwritten in every record whose page_id leaves 13 on division by 97, and those that leave 14 on division by 389 are lost."""
-    hurt = F.col("page_id") % 97 == 13
-    payload = F.when(hurt, F.overlay(F.col("payload"), F.lit(b"\x00"), F.lit(6), F.lit(1))).otherwise(F.col("payload"))
-    return records.where(F.col("page_id") % 389 != 14).withColumn("payload", payload)
+def hurt(page_id: Column, payload: Column) -> Column:
+    """The query's damage: one byte is overwritten in every record whose page_id leaves 13 on division by 97."""
+    return F.when(page_id % 97 == 13, F.overlay(payload, F.lit(b"\x00"), F.lit(6), F.lit(1))).otherwise(payload)
 
 
 def result(spark, sf_dir: str) -> DataFrame:
-    records = warc_records(table(spark, sf_dir, "pages"))
-    return audit(records, damaged(records))
+    """The pages as WARC records against a replica with damage (:func:`hurt`) and without those whose page_id leaves 14 on division by 389."""
+    return audit(*replicas(table(spark, sf_dir, "pages"), hurt, F.col("page_id") % 389 == 14))
 
 
 #: The same audit without a tree: every record of one replica against the other.

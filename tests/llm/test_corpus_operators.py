@@ -392,6 +392,29 @@ def test_warc_round_trip(spark, tables, tmp_path):
     assert fixity.audit(fixity.warc_records(d, 20), again).count() == 0
 
 
+def test_warc_files_in_gzip_and_in_pieces(monkeypatch):
+    import gzip
+
+    parts = [f"WARC/1.1\r\nContent-Length: {n}\r\n\r\n".encode() + random.Random(n).randbytes(n) + b"\r\n\r\n" for n in (0, 5, 3000, 1, 70_000)]
+    starts = [sum(map(len, parts[:i])) for i in range(5)]
+    plain = fixity._unpacked
+    for piece in (7, 1000, 1 << 20):
+        monkeypatch.setattr(fixity, "_unpacked", lambda raw, piece=piece: plain(raw, piece))
+        for raw in (b"".join(parts), gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))):
+            assert list(fixity.records_of(raw)) == list(zip(starts, parts, strict=True))
+        assert [x for _, x in fixity.records_of(b"".join(parts)[:-10])] == [*parts[:-1], parts[-1][:-10]]
+        assert list(fixity.records_of(b"")) == [] and list(fixity.records_of(b"junk")) == [(0, b"junk")]
+
+
+def test_hashed_replicas_are_those_of_the_payloads(spark, tables):
+    d = tables("pages").unionByName(spark.createDataFrame([(None, None, None), (None, "u", "x"), (3, "b", "b"), (3, "a", "a"), (3, "a", "a")], "page_id long, url string, html string"))
+    a, b = fixity.replicas(d, fixity.hurt, F.col("page_id") % 389 == 14, 20)
+    records = fixity.warc_records(d, 20)
+    key = lambda t: sorted(map(tuple, t.collect()))
+    assert key(a) == key(records.select("archive", "offset", F.length("payload"), F.sha2("payload", 256)))
+    assert key(b) == key(records.where("page_id % 389 <> 14").select("archive", "offset", F.length("payload"), F.sha2(fixity.hurt(F.col("page_id"), F.col("payload")), 256)))
+
+
 # --- packing
 
 
