@@ -9,6 +9,8 @@ document alone may exceed it).
 
 The histogram goes to the driver: its D lengths are distinct, so at least
 D * D / 2 tokens lie in the corpus, and 10**13 tokens bound D by 4.5 million.
+The programme holds 4 bytes for each length and bucket and some arrays of 8
+bytes for each length, so 0.6 GB at that bound.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from ..scratch import written
 from .text import table, word_count
 
-#: Parts of the seeded order in which the documents of a bucket are ranked.
-SHARDS = 1024
+#: Least parts of the seeded order in which the documents of a bucket are ranked; a part has about ``PART`` of them in larger corpora.
+SHARDS, PART = 1024, 1 << 20
 
 
 def boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> list[int]:
@@ -33,38 +35,46 @@ def boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> l
     right end counts, so the outcome is fixed.  Works in whole numbers, by
     lines of falling slope: O(buckets * lengths).
     """
-    x, n = [int(v) for v in lengths], [int(v) for v in counts]
-    if not x:
+    x, n = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    if not len(x):
         return []
-    upto, mass = [0], [0]
-    for a, b in zip(x, n, strict=True):
-        upto.append(upto[-1] + b)
-        mass.append(mass[-1] + a * b)
     size = len(x)
+    upto, mass = (np.concatenate([[0], np.cumsum(v)]) for v in (n, x * n))
     # cost[j]: least padding of the first j lengths with k buckets; the last holds lengths i to j - 1
-    cost = [0] + [x[j - 1] * upto[j] - mass[j] for j in range(1, size + 1)]
-    choice = []
+    own = np.concatenate([[0], x * upto[1:] - mass[1:]])
+    cost, choice = own, []
+    # the lines of a bucket's beginnings, by number; products go beyond 64 bits, so they are taken of Python's numbers
+    lines = np.empty(size, np.int32)
     for _ in range(1, min(buckets, size)):
-        lines: list[tuple[int, int, int]] = []
-        now, came, at = [0] * (size + 1), [0] * (size + 1), 0
+        rise = cost + mass
+        now, came, held, at = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int32), 0, 0
+        line = lambda i: (-int(upto[i]), int(rise[i]))  # noqa: E731, B023
         for j in range(1, size + 1):
-            i = j - 1
-            m, c = -upto[i], cost[i] + mass[i]
-            while len(lines) >= 2 and (c - lines[-2][1]) * (lines[-2][0] - lines[-1][0]) <= (lines[-1][1] - lines[-2][1]) * (lines[-2][0] - m):
-                lines.pop()
-            lines.append((m, c, i))
-            at = min(at, len(lines) - 1)
-            v = x[j - 1]
-            while at + 1 < len(lines) and lines[at + 1][0] * v + lines[at + 1][1] <= lines[at][0] * v + lines[at][1]:
-                at += 1
-            now[j], came[j] = v * upto[j] - mass[j] + lines[at][0] * v + lines[at][1], lines[at][2]
+            m, c = line(j - 1)
+            while held >= 2:
+                (m1, c1), (m2, c2) = line(lines[held - 2]), line(lines[held - 1])
+                if (c - c1) * (m1 - m2) > (c2 - c1) * (m1 - m):
+                    break
+                held -= 1
+            lines[held] = j - 1
+            held += 1
+            at = min(at, held - 1)
+            v = int(x[j - 1])
+            m, c = line(lines[at])
+            best = m * v + c
+            while at + 1 < held:
+                m, c = line(lines[at + 1])
+                if m * v + c > best:
+                    break
+                at, best = at + 1, m * v + c
+            now[j], came[j] = int(own[j]) + best, lines[at]
         cost = now
         choice.append(came)
     out, j = [], size
-    for came in [*reversed(choice), [0] * (size + 1)]:
+    for came in [*reversed(choice), np.zeros(size + 1, np.int32)]:
         if j:
-            out.append(x[j - 1])
-            j = came[j]
+            out.append(int(x[j - 1]))
+            j = int(came[j])
     return out[::-1]
 
 
@@ -88,9 +98,10 @@ def packed(docs: DataFrame, length: Column | None = None, buckets: int = 16, bud
 
     bounds = F.array(*[F.lit(t).cast("long") for t in tops])
     bucket = lambda c: F.size(F.filter(bounds, lambda t: t < F.col(c)))
-    shard = F.shiftright("_pk_place", 63 - (SHARDS - 1).bit_length()).cast("int")
+    shards = max(SHARDS, int(seen["count"].sum()) // PART)
+    shard = F.shiftright("_pk_place", 63 - (shards - 1).bit_length()).cast("int")
     narrow = narrow.select(bucket("_pk_n").alias("_pk_bucket"), shard.alias("_pk_shard"))
-    # buckets * SHARDS rows at most, whatever the corpus
+    # a row for each bucket and part: 16 for each million documents of large corpora
     held = narrow.groupBy("_pk_bucket", "_pk_shard").count().toArrow().to_pandas().sort_values(["_pk_bucket", "_pk_shard"])
     held["_pk_before"] = held.groupby("_pk_bucket")["count"].cumsum() - held["count"]
     starts = spark.createDataFrame(
