@@ -13,32 +13,35 @@ from . import kernels
 
 
 def register(spark: SparkSession) -> None:
-    """Registers l2_sqr, l2_normalize, inner_product and rotate_vector (Arrow batches; null for null)."""
-
-    def pairwise(f):
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None or y is None else f(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b, strict=True)], dtype="Float64")
-
-        return F.pandas_udf(run, "double")
-
-    def each(f):
-        def run(a: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None else f(np.asarray(x, float)) for x in a])
-
-        return F.pandas_udf(run, "array<double>")
-
-    spark.udf.register("l2_sqr", pairwise(lambda x, y: float(((x - y) ** 2).sum())))
-    spark.udf.register("inner_product", pairwise(lambda x, y: float(x @ y)))
-    spark.udf.register("l2_normalize", each(lambda x: x / n if (n := float(np.sqrt((x * x).sum()))) > 0 else x))
-    spark.udf.register("rotate_vector", each(lambda x: kernels.rotate(x[None])[0]))
-
-
-def register_search(spark: SparkSession, base: DataFrame, name: str = "ann_search", k: int = 10, most: int = 1_000_000) -> None:
+    """Registers l2_sqr, l2_normalize, inner_product (SQL expressions) and rotate_vector (Arrow batches); null for null."""
+    pair = "(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION l2_sqr{pair} aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION inner_product{pair} aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)")
+    size = "sqrt(aggregate(transform(a, x -> x * x), 0D, (s, x) -> s + x))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION l2_normalize(a ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN IF({size} > 0, zip_with(a, array_repeat({size}, size(a)), (x, n) -> x / n), a)")
+
+    @F.pandas_udf("array<double>")
+    def rotate(a: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(a), dtype=object)
+        for _, at in a.groupby(a.map(len, na_action="ignore")).groups.items():
+            turned = kernels.rotate(np.stack(a.loc[at]).astype(float))
+            for i, v in zip(at, turned, strict=True):
+                out[i] = v
+        return out
+
+    spark.udf.register("rotate_vector", rotate)
+
+
+def register_search(spark: SparkSession, base: DataFrame, name: str = "ann_search", k: int = 10, most: int = 1_000_000, most_bytes: int = 256 << 20) -> None:
     """Registers a table function ``name(query_id, vector)`` that returns (query_id, rank, vec_id, dist) over ``base``.
 
     The base is sent along with the function and so must be small: more than
-    ``most`` rows raise an error (search those with the DataFrame operators).
+    ``most`` rows, or ``most_bytes`` of components, raise an error before any
+    of them is collected (search those with the DataFrame operators).
     """
+    held = base.where(F.col("embedding").isNotNull()).select(F.sum(F.size("embedding")).alias("n")).first()["n"] or 0
+    if 8 * held > most_bytes:
+        raise ValueError(f"{8 * held} bytes of vectors, more than {most_bytes}")
     rows = base.where(F.col("embedding").isNotNull()).select("vec_id", "embedding").limit(most + 1).toArrow().to_pandas().sort_values("vec_id")
     if len(rows) > most:
         raise ValueError(f"more than {most} rows")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -100,13 +101,18 @@ def per_watt(points: DataFrame, watts: DataFrame) -> DataFrame:
     return points.join(F.broadcast(watts), "system").withColumn("qps_per_watt", F.col("qps") / F.col("watts"))
 
 
-def scaling(spark: SparkSession, nodes: Iterable[int], queries: int, compute_ms: float, bytes_out: int, latency_ms: float = 0.02, gbit: float = 10.0, spread: float = 0.1, seed: int = 1) -> DataFrame:
+def scaling(spark: SparkSession, nodes: Iterable[int], queries: int, compute_ms: float, bytes_out: int, bytes_in: int = 0, latency_ms: float = 0.02, gbit: float = 10.0, overhead_ms: float = 0.0, spread: float = 0.1, seed: int = 1) -> DataFrame:
     """(nodes, qps): a model of query-parallel search on several machines.
 
-    A query costs a latency and its answer's transfer over the network, and
-    compute time with a normal spread for imbalance; nodes work side by side.
+    A query costs an overhead, compute time with a normal spread for
+    imbalance (0 at least) and, with several machines, the transfer of the
+    query and of its answer, a latency each and their bytes; nodes work side
+    by side.  The spread comes from a hash of the query's number, so it is the
+    same however the rows are dealt.
     """
-    network = latency_ms + bytes_out * 8 / (gbit * 1e6)
+    network = 2 * latency_ms + (bytes_in + bytes_out) * 8 / (gbit * 1e6)
     sized = spark.createDataFrame([(int(n),) for n in nodes], "nodes int").withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(int(queries)))))
-    cost = F.lit(network) * (F.col("nodes") > 1).cast("int") + F.lit(compute_ms) * F.greatest(F.lit(0.1), 1 + F.randn(seed) * spread)
+    even = lambda salt: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), "nodes", "q"), 11) + 0.5) / float(1 << 53)
+    normal = F.sqrt(-2 * F.log(even(0))) * F.cos(2 * math.pi * even(1))
+    cost = F.lit(overhead_ms) + F.lit(network) * (F.col("nodes") > 1).cast("int") + F.lit(compute_ms) * F.greatest(F.lit(0.0), 1 + normal * spread)
     return sized.withColumn("ms", cost).groupBy("nodes").agg((F.lit(1000.0) * F.first("nodes") / F.avg("ms")).alias("qps"))

@@ -56,8 +56,21 @@ class ClusterGraph:
         self.entry = int(((x - mean) ** 2).sum(1).argmin())
         self.out: list[list[int]] = []
         for i in range(n):
-            others = np.delete(np.arange(n), i)
-            self.out.append(self.rng.permutation(others)[:degree].tolist())
+            self.out.append(self.drawn(i, degree, []))
+
+    def drawn(self, i: int, many: int, without: list[int]) -> list[int]:
+        """``many`` different random nodes (all, if there are fewer) that are neither i nor among ``without``; drawn again where they repeat."""
+        n, barred = len(self.x), {i, *without}
+        if n - len(barred) <= 4 * many:
+            rest = [v for v in range(n) if v not in barred]
+            return [rest[j] for j in self.rng.permutation(len(rest))[:many].tolist()]
+        out: list[int] = []
+        while len(out) < many:
+            for v in self.rng.integers(n, size=2 * many).tolist():
+                if v not in barred and len(out) < many:
+                    barred.add(v)
+                    out.append(v)
+        return out
 
     def dist(self, i: int, to: list[int]) -> np.ndarray:
         d = self.x[to] - self.x[i]
@@ -89,8 +102,10 @@ class ClusterGraph:
         return found
 
     def prune(self, i: int, found: dict[int, float]) -> tuple[list[int], list[tuple[float, int]]]:
-        """Relative-neighbourhood rule: a candidate stays unless one that stays is nearer to it than node i is."""
+        """Relative-neighbourhood rule: a candidate stays unless one that stays is nearer to it than node i is; ``degree`` candidates or fewer all stay."""
         pool = sorted((d, v) for v, d in found.items() if v != i)[: self.pool]
+        if len(pool) <= self.degree:
+            return [v for _, v in pool], []
         kept, pruned = [], []
         for d, v in pool:
             if len(kept) >= self.degree:
@@ -121,14 +136,16 @@ class ClusterGraph:
         lack = self.degree - len(self.out[i])
         if lack <= 0:
             return
-        spare = [v for _, v in pruned if v not in self.out[i]]
+        spare = [(d, v) for d, v in pruned if v not in self.out[i]]
+        far = dict(zip(self.out[i], self.dist(i, self.out[i]).tolist(), strict=True)) if self.out[i] else {}
 
         def within(limit: float) -> list[int]:
             took: list[int] = []
-            for v in spare:
+            for d, v in spare:
                 if len(took) >= lack:
                     break
-                near = self.out[i] + took
+                # farther neighbours hide nothing; what was taken before is nearer
+                near = [u for u in self.out[i] if far[u] <= d] + took
                 if near:
                     a, b = self.x[v] - self.x[i], self.x[near] - self.x[i]
                     cos = (b @ a) / np.maximum(np.linalg.norm(b, axis=1) * np.linalg.norm(a), 1e-30)
@@ -146,9 +163,7 @@ class ClusterGraph:
             else:
                 lo = mid
         self.out[i] += best[:lack]
-        rest = [v for v in range(len(self.x)) if v != i and v not in self.out[i]]
-        while len(self.out[i]) < self.degree and rest:
-            self.out[i].append(rest.pop(int(self.rng.integers(len(rest)))))
+        self.out[i] += self.drawn(i, self.degree - len(self.out[i]), self.out[i])
 
     def build(self, rounds: int) -> "ClusterGraph":
         for r in range(rounds):

@@ -67,16 +67,28 @@ def assigned(rows: DataFrame, centroids: DataFrame | Centers, key: str = "vec_id
 
 
 def kmeans(rows: DataFrame, k: int, vector: str = "embedding", sample: int = 65_536, rounds: int = 10, seed: int = 1) -> DataFrame:
-    """(cluster_id, centroid) by Lloyd's rounds, each one distributed pass over all rows; the start comes from a seeded sample.
-
-    A cluster that loses all its rows keeps its centroid.
+    """(cluster_id, centroid) by Lloyd's rounds, each one distributed pass over all rows.
+
+    The start is ``k`` vectors that come first by a seeded hash, of a sample
+    of about ``sample`` rows drawn by the same hash, so nothing else is
+    shuffled.  Equal vectors have one hash and are drawn together: if the
+    sample has fewer than k different ones, all rows are asked, and if these
+    have fewer, there are as many clusters as different vectors.  More
+    clusters than ``sample`` are an error.  A cluster that loses all its rows
+    keeps its centroid.
     """
+    if k > sample:
+        raise ValueError(f"{k} clusters of a sample of {sample}")
     rows = rows.where(F.col(vector).isNotNull())
     n = rows.count()
     if not n:
         return rows.sparkSession.createDataFrame([], "cluster_id long, centroid array<double>")
-    spread = F.xxhash64(F.lit(seed), F.col(vector))
-    start = rows.select(doubles(F.col(vector)).alias("x"), spread.alias("h")).dropDuplicates(["x"]).orderBy("h").limit(min(k, sample)).toArrow().to_pandas()
+    spread = rows.select(doubles(F.col(vector)).alias("x"), F.xxhash64(F.lit(seed), F.col(vector)).alias("h"))
+    for share in (min(1.0, sample / n), 1.0):
+        drawn = spread.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < share) if share < 1 else spread
+        start = drawn.dropDuplicates(["x"]).orderBy("h", "x").limit(k).toArrow().to_pandas()
+        if len(start) == k or share == 1:
+            break
     centers = Centers.__new__(Centers)
     centers.matrix = np.stack(start["x"])
     centers.ids = np.arange(len(centers.matrix))

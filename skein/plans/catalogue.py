@@ -279,6 +279,41 @@ def most_probed_clusters(spark, d):
     return search.top(v.withColumnRenamed("visits", "probes"), 5, [], [F.desc("probes"), "cluster_id"], "place")
 
 
+def _extreme(order: str) -> str:
+    return f"""WITH {_BASE}, {_CENTROIDS}, {_NEAR}, v AS (SELECT cluster_id, count(vec_id) AS n FROM centroids LEFT JOIN near USING (cluster_id) GROUP BY 1)
+SELECT cluster_id, n, row_number() OVER (ORDER BY {order}, cluster_id)::INTEGER AS place FROM v QUALIFY place <= 5"""
+
+
+def _sizes_of(spark, d) -> DataFrame:
+    base = base_of(spark, d)
+    centroids = partition.centroids_of(base)
+    return partition.sizes(partition.assigned(base, centroids), centroids)
+
+
+@query(_extreme("n"))
+def smallest_clusters(spark, d):
+    return search.top(_sizes_of(spark, d), 5, [], [F.asc("n"), "cluster_id"], "place")
+
+
+@query(_extreme("n DESC"))
+def largest_clusters(spark, d):
+    return search.top(_sizes_of(spark, d), 5, [], [F.desc("n"), "cluster_id"], "place")
+
+
+@query(f"""WITH {_BASE}, {_CENTROIDS}, {_PROBES}, {_NEAR}, {_STATS}, v AS (SELECT avg_dist AS x FROM full_stats WHERE avg_dist > 0), span AS (SELECT min(x) AS lo, max(x) AS hi FROM v)
+SELECT least(floor((x - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END)::DOUBLE * 50), 49)::BIGINT AS bin, count(*) AS n FROM v, span GROUP BY 1""")
+def cluster_distance_histogram(spark, d):
+    return partition.histogram(written(_stats_of(spark, d).where("avg_dist > 0").select("avg_dist"), "catalogue-distances"), "avg_dist")
+
+
+@query(f"""WITH {_BASE}, {_CENTROIDS}, {_PROBES}, {_NEAR}, {_STATS}
+SELECT {_fix('avg(n)')} AS mean_size, {_fix('quantile_cont(n, 0.5)')} AS median_size, {_fix('avg(avg_dist) FILTER (avg_dist > 0)')} AS mean_dist, {_fix('quantile_cont(avg_dist, 0.5) FILTER (avg_dist > 0)')} AS median_dist FROM full_stats""")
+def cluster_averages(spark, d):
+    own = F.when(F.col("avg_dist") > 0, F.col("avg_dist"))
+    got = _stats_of(spark, d).agg(F.avg("n").alias("mean_size"), F.percentile("n", 0.5).alias("median_size"), F.avg(own).alias("mean_dist"), F.percentile(own, 0.5).alias("median_dist"))
+    return got.select(_r("mean_size"), _r("median_size"), _r("mean_dist"), _r("median_dist"))
+
+
 # --- probing and balancing
 
 

@@ -111,6 +111,9 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Rows]:
         each = max(1, int(self.options.get("rowsperpartition", 0)) or (32 << 20) // max(1, self.row))
+        if self.kind == "xvecs" and self.options.get("onbadrecord", "fail") == "truncate":
+            # nothing after the first bad record counts, wherever it is, so one task reads in order
+            each = max(1, self.n)
         return [Rows(i, min(each, self.start + self.n - i)) for i in range(self.start, self.start + self.n, each)] or [Rows(0, 0)]
 
     def read(self, part: Rows) -> Iterator[pa.RecordBatch]:

@@ -109,6 +109,38 @@ def test_graph_and_beam(made):
     assert index.degree_stats(graph).agg(F.sum("self_loops")).first()[0] == 0
 
 
+def test_graph_builds_in_the_time_of_its_rows():
+    """Random neighbours are drawn without a list of all nodes, and few candidates are all kept."""
+    x = np.random.default_rng(0).normal(size=(3000, 8))
+    g = index.ClusterGraph(x, 8, 16, 1)
+    assert all(len(set(o)) == 8 and i not in o for i, o in enumerate(g.out))
+    assert index.ClusterGraph(x[:4], 8, 16, 1).drawn(1, 8, [2]) in ([0, 3], [3, 0])
+    near = dict(enumerate([0.1, 0.2, 0.3]))
+    assert g.prune(2999, near) == ([0, 1, 2], [])
+    assert g.drawn(5, 4, []) != g.drawn(5, 4, [])
+
+
+def test_kmeans_brute_force(spark):
+    """Lloyd's rounds from the same start; no silent limit on the number of clusters."""
+    x = np.random.default_rng(5).normal(size=(200, 6))
+    base = frame(spark, x)
+    got = np.array([r["centroid"] for r in partition.kmeans(base, 5, rounds=60).orderBy("cluster_id").collect()])
+    near = ((x[:, None] - got[None]) ** 2).sum(2).argmin(1)
+    assert np.allclose(got, [x[near == k].mean(0) for k in range(5)], atol=1e-6)
+    with pytest.raises(ValueError):
+        partition.kmeans(base, 20, sample=10)
+    same = frame(spark, [[1.0, 0.0]] * 9 + [[0.0, 1.0]])
+    assert partition.kmeans(same, 2, sample=2).count() == 2 and partition.kmeans(same, 4).count() == 2
+
+
+def test_scaling_model(spark):
+    """Against the same formula in closed form, without spread; with it, reruns agree on any number of partitions."""
+    got = {r["nodes"]: r["qps"] for r in evaluate.scaling(spark, (1, 4), 50, 2.0, 1000, 500, 0.5, 1.0, 0.25, spread=0.0).collect()}
+    assert np.isclose(got[1], 1000 / 2.25) and np.isclose(got[4], 4000 / (2.25 + 1.0 + 1500 * 8 / 1e6))
+    a, b = ([tuple(r) for r in evaluate.scaling(spark, (1, 2, 8), 3000, 2.0, 40).orderBy("nodes").collect()] for _ in range(2))
+    assert a == b and abs(a[0][1] - 500) < 10
+
+
 def test_index_round_trip(made, spark, tmp_path):
     _, _, base, queries, centroids = made
     built = index.encoded(base, partition.assigned(base, centroids), centroids)

@@ -41,7 +41,8 @@ def test_bad_records(spark, tmp_path):
         S.read_vectors(spark, f"{tmp_path}/bad.fvecs").collect()
     with pytest.raises(Exception):
         S.read_vectors(spark, f"{tmp_path}/short.fvecs").collect()
-    assert S.read_vectors(spark, f"{tmp_path}/bad.fvecs", onBadRecord="truncate").count() == 3
+    for each in (1, 2, 3, 100):
+        assert S.read_vectors(spark, f"{tmp_path}/bad.fvecs", onBadRecord="truncate", rowsPerPartition=each).count() == 3
     (tmp_path / "none.fvecs").write_bytes(b"")
     assert S.read_vectors(spark, f"{tmp_path}/none.fvecs").count() == 0
     with pytest.raises(Exception):
@@ -120,6 +121,13 @@ def test_sql_names(spark, tables):
     base.createOrReplaceTempView("e")
     got = spark.sql("select l2_sqr(embedding, embedding) d, inner_product(embedding, embedding) i, l2_normalize(embedding) n, l2_sqr(null, embedding) z from e where vec_id = 0").first()
     assert got["d"] == 0 and abs(got["i"] - 1) < 1e-5 and len(got["n"]) == 64 and got["z"] is None
+    rows = [([1.0, 2.0], [0.5, None]), ([3.0, 4.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0])]
+    spark.createDataFrame(rows, "a array<double>, b array<double>").createOrReplaceTempView("ab")
+    got = spark.sql("select l2_sqr(a, b) d, inner_product(a, b) i, l2_normalize(a) n from ab")
+    assert [tuple(r) for r in got.collect()][1:] == [(13.0, 7.0, [0.6, 0.8]), (2.0, 0.0, [0.0, 0.0]), (None, None, None)]
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        sql.register_search(spark, base, most_bytes=1000)
     sql.register_search(spark, base, k=3)
     got = spark.sql("select f.* from e, lateral ann_search(e.vec_id, cast(e.embedding as array<double>)) f where e.vec_id < 5").collect()
     assert len(got) == 15 and all(r["vec_id"] == r["query_id"] for r in got if r["rank"] == 1)
