@@ -20,18 +20,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import written
-from .text import WORD, table, word_count
+from ..scratch import dropped, written
+from .text import likely, table, word_count
 
 #: Cells of the seeded order within each source.
 CELLS = 4096
 
 
 def cyclic_weights(sources: DataFrame, weights: Sequence[float] = (1, 2, 3)) -> DataFrame:
-    """``sources`` (a row each, bounded by the number of sources) with weights that repeat by code point, null last."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    at = (F.row_number().over(order) - 1) % len(weights) + 1
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), at.cast("int")))
+    """``sources`` (a row each) with weights that repeat by code point, null last; numbered in sorted ranges, one after another."""
+    ranged = sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    place = F.monotonically_increasing_id()
+    ranged = written(ranged.withColumns({"_mix_part": F.shiftright(place, 33).cast("int"), "_mix_nth": place.bitwiseAND((1 << 33) - 1)}), "mixing-ranges")
+    # a row for each partition
+    held = ranged.groupBy("_mix_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_mix_part").collect()
+    before, upto = {}, 0
+    for r in held:
+        before[r["_mix_part"]] = upto
+        upto += r["n"]
+    starts = sources.sparkSession.createDataFrame([(p, n) for p, n in before.items()], "_mix_part int, _mix_before long")
+    at = (F.col("_mix_before") + F.col("_mix_nth")) % len(weights) + 1
+    out = ranged.join(F.broadcast(starts), "_mix_part")
+    return out.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), at.cast("int"))).select(*sources.columns, "weight")
 
 
 def water_fill(sources: DataFrame, budget: float, cap: float = 3.0) -> DataFrame:
@@ -76,14 +86,17 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     hit = cells.join(filled, same(cells, filled)).where((F.col("_mix_rest") > 0) & (F.col("_mix_upto") >= F.col("_mix_rest")) & (F.col("_mix_upto") - F.col("_mix_sum") < F.col("_mix_rest")))
     hit = written(hit.select(filled["source"], "_mix_cell", (F.col("_mix_rest") - F.col("_mix_upto") + F.col("_mix_sum")).alias("_mix_left")), "mixing-cells")
-    inside = narrow.withColumn("_mix_cell", cell)
-    inside = inside.join(F.broadcast(hit) if hit.count() <= 10_000 else hit, same(inside, hit) & (inside["_mix_cell"] == hit["_mix_cell"])).select(inside["source"], "_mix_place", "_mix_size", "_mix_left")
+    # one cell of each source is opened
+    inside, _ = likely(narrow.withColumn("_mix_cell", cell), ["source", "_mix_cell"], hit, ["source", "_mix_cell"])
+    inside = inside.join(hit, same(inside, hit) & (inside["_mix_cell"] == hit["_mix_cell"])).select(inside["source"], "_mix_place", "_mix_size", "_mix_left")
     inside = inside.groupBy("source", "_mix_place", "_mix_left").agg(F.sum("_mix_size").alias("_mix_size"), F.count(F.lit(1)).alias("_mix_n"))
     upto = F.sum("_mix_size").over(Window.partitionBy("source").orderBy("_mix_place"))
     last = inside.withColumn("_mix_upto", upto).where((F.col("_mix_upto") >= F.col("_mix_left")) & (F.col("_mix_upto") - F.col("_mix_size") < F.col("_mix_left")))
     last = last.select("source", F.col("_mix_place").alias("_mix_last"), F.expr("(_mix_left - _mix_upto + _mix_size) div _mix_n").alias("_mix_part"))
     plan = filled.join(last, same(filled, last), "left").select(filled["source"].alias("_mix_source"), "source_size", "target", "_mix_whole", F.when(F.col("_mix_rest") > 0, F.col("_mix_last")).alias("_mix_last"), "_mix_part")
-    return placed, written(plan, "mixing-plan")
+    plan = written(plan, "mixing-plan")
+    dropped(narrow, totals, hit)
+    return placed, plan
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
@@ -102,17 +115,16 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken; of a part taken, the first words joined by blanks (n_chars follows)."""
+    """The mix itself: each document as often as it is taken, whole texts only.
+
+    The document at which a source's target is reached is taken once more if
+    at least half of its words are wanted, so a source's words come within
+    half a document of its target (of each of several equal ones).
+    """
     columns = docs.columns
     out = mixed(docs.select(*columns), **how)
-    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
-    copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    out = out.withColumn("_mix_part", part).withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
-    cut = (F.col("_mix_part") > 0) & (F.col("_mix_copy") == F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1))) + 1)
-    text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_mix_part").cast("int")), " ")).otherwise(F.col("text"))
-    out = out.withColumns({"text": text, "_mix_cut": cut})
-    fresh = F.when(F.col("_mix_cut"), F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars") if "n_chars" in columns else None
-    return out.select(*[fresh if c == "n_chars" else F.col(c) for c in columns])
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    return out.withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(*columns)
 
 
 def result(spark, sf_dir: str) -> DataFrame:

@@ -492,7 +492,12 @@ def test_mixing(spark, tables):
     assert key(got) == key(again)
     texts = mixing.repeated(d)
     assert texts.columns == d.columns
-    assert sum(len((r["text"] or "").split()) for r in texts.collect()) == got["taken"].sum()
+    # whole texts only, each source within half a document of its target
+    made, own_texts = texts.toPandas(), {r["text"] for r in d.collect()}
+    assert set(made["text"]) <= own_texts
+    for s in sources:
+        words = sum(len(t.split()) for t in made.loc[made["source"].isna() if s is None else made["source"] == s, "text"])
+        assert abs(words - want[s]) <= own[s]["size"].max() / 2 + 1
     assert mixing.mixed(d.where("false")).count() == 0
 
 
@@ -594,3 +599,65 @@ def test_pipeline(spark):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_pipeline_brute_force(spark):
+    """Each stage against a plain version of it, on what the stage before kept."""
+    import corpus_pipeline as P
+    from skein.llm import langid
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    small = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 70 and n_chars < 2500").collect()
+    rows = [tuple(r) for r in small]
+    long = [r for r in rows if len(r[1].split()) > 80][:6]
+    rows += [(1000 + i, t + " and so on", lang, src, 0) for i, (_, t, lang, src, _) in enumerate(long)]
+    run = "\n".join(f"this is line {i} of a passage that is in two documents" for i in range(6))
+    rows += [(2000, f"the first one\n{run}\nends here", "en", "src1", 0), (2001, f"quite another one\n{run}\nof this and that", "en", "src2", 0), (2002, "12 34 !!", "en", "src1", 8), (2003, None, "en", None, 0)]
+    d = spark.createDataFrame(rows, schema)
+
+    def stage(i, now):
+        return [tuple(r) for r in P.STAGES[i][1](spark, spark.createDataFrame(now, schema), SF).select("doc_id", "text", "lang", "source", "n_chars").collect()]
+
+    got = [tuple(r) for r in P.STAGES[0][1](spark, d, SF).collect()]
+    model = langid.learn(d, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    names, scores = model.predict([r[1] or "" for r in rows])
+    assert sorted(got) == sorted(r for r, n, s in zip(rows, names, scores, strict=True) if n != "und" and s >= 0.3)
+    assert not {2002, 2003} & {r[0] for r in got}
+
+    lined = stage(1, got)
+    want, _ = maximal_brute([(r[0], r[1]) for r in got], 4, 50)
+    assert sorted((r[0], r[1]) for r in lined) == sorted((r[0], want[r[0], r[1]]) for r in got)
+    assert {r[0]: r[1] for r in lined}[2001] == "quite another one\nof this and that" and all(r[4] == len(r[1]) for r in lined if r[0] == 2001)
+
+    near = stage(2, lined)
+    words = {r[0]: labelled(r[1]) for r in lined}
+    pairs = [(a, b) for a, b in itertools.combinations(words, 2) if words[a] and words[b] and min(len(words[a]), len(words[b])) >= 0.8 * max(len(words[a]), len(words[b])) and set(words[a]) & set(words[b]) and (m := lcs(words[a], words[b])) / (len(words[a]) + len(words[b]) - m) >= 0.8]
+    text = {r[0]: r[1] for r in lined}
+    first = {}
+    for i in sorted(text):
+        pairs += [(first.setdefault(text[i], i), i)]
+    top = union(pairs, text)
+    assert sorted(r[0] for r in near) == sorted(i for i in text if top[i] == i) and set(near) <= set(lined) and len(near) < len(lined)
+
+    mix = stage(3, near)
+    size = {r[0]: len(r[1].split()) for r in near}
+    sizes = {}
+    for r in near:
+        sizes[r[3]] = sizes.get(r[3], 0) + size[r[0]]
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = water_brute(sizes, {s: float(i % 3 + 1) for i, s in enumerate(order)}, sum(sizes.values()), 3.0)
+    assert set(mix) <= set(near) and max(mix.count(r) for r in set(mix)) <= 3
+    for s in order:
+        most = max(size[r[0]] for r in near if r[3] == s)
+        assert abs(sum(size[r[0]] for r in mix if r[3] == s) - target[s]) <= most / 2 + 1
+        # whole repetitions of all but the documents of the last round
+        times = [mix.count(r) for r in near if r[3] == s and size[r[0]]]
+        assert max(times, default=0) - min(times, default=0) <= 1
+
+    packed = P.STAGES[4][1](spark, spark.createDataFrame(mix, schema), SF).toPandas()
+    lengths = packed["text"].map(lambda t: len(t.split())).to_numpy()
+    tops = sorted(set(packed["bucket_len"]))
+    assert len(packed) == len(mix) and len(tops) <= 16 and (packed["n_tokens"] == lengths).all()
+    assert packed["padding"].sum() == packing.least_padding(lengths, packing.boundaries(sorted(set(lengths.tolist())), [int((lengths == n).sum()) for n in sorted(set(lengths.tolist()))], 16))
+    for (_, last), g in packed.groupby(["bucket", "bucket_len"]):
+        assert g.groupby("batch").size().max() <= max(1, 65_536 // max(1, last))
