@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.vectors import doubles
-from ..scratch import written
+from ..scratch import dropped, written
 
 
 def mean_vectors(rows: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
@@ -156,42 +156,41 @@ def histogram(values: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def capped(rows: DataFrame, assignment: DataFrame, centroids: DataFrame, limit: int, rounds: int = 100, near: int = 100, vector: str = "embedding") -> DataFrame:
     """(vec_id, cluster_id, dist, moved) with clusters of at most ``limit`` rows, as far as rounds allow.
 
-    Every oversized cluster gives away its first rows by id; each goes to the
-    nearest of its ``near`` centroids that has room, else to the smallest of
-    them, sizes being kept up to date row by row.  Only the rows that move and
-    their candidates leave the executors; if all clusters together are too
-    small for the rows, an error is raised.
+    In each round every oversized cluster offers its first rows by id.  Each
+    asks for the nearest of its ``near`` centroids that has room, which takes
+    the nearest of those that ask, as many as fit.  Where none has room, it asks
+    for the smallest, which takes rows until it is half way to the size of the
+    one that gives.  The others ask again in the next round.  Only the sizes of
+    the clusters come to the driver; if all clusters together are too small for
+    the rows, an error is raised.
     """
-    total = assignment.count()
-    count = dict(sizes(assignment, centroids).toArrow().to_pandas().itertuples(index=False))
-    if total > limit * len(count):
-        raise ValueError(f"{total} rows do not fit in {len(count)} clusters of {limit}")
     spark = rows.sparkSession
-    now = assignment.select("vec_id", "cluster_id", "dist").withColumn("moved", F.lit(False))
     centers = Centers(centroids)
-    for _ in range(rounds):
-        over = {c: n - limit for c, n in count.items() if n > limit}
-        if not over:
+    now = assignment.select("vec_id", "cluster_id", "dist", F.col("cluster_id").alias("home"))
+    made: DataFrame | None = None
+    for done in range(rounds + 1):
+        count = [(int(c), int(n)) for c, n in sizes(now, centroids).toArrow().to_pandas().itertuples(index=False)]
+        if (total := sum(n for _, n in count)) > limit * len(count):
+            raise ValueError(f"{total} rows do not fit in {len(count)} clusters of {limit}")
+        if done == rounds or all(n <= limit for _, n in count):
             break
-        excess = spark.createDataFrame([(int(c), int(n)) for c, n in over.items()], "cluster_id long, excess long")
-        first = now.join(F.broadcast(excess), "cluster_id").selectExpr("*", "row_number() over (partition by cluster_id order by vec_id) as _at").where("_at <= excess").select("vec_id", F.col("cluster_id").alias("old"))
-        candidates = probes(first.join(rows.select("vec_id", vector), "vec_id"), centers, near, "vec_id", vector).join(first, "vec_id")
-        moves = []
-        for vec_id, group in candidates.toArrow().to_pandas().sort_values(["old", "vec_id", "rank"]).groupby(["old", "vec_id"], sort=False):
-            old, vec = vec_id
-            if count[old] <= limit:
-                continue
-            others = [(c, d) for c, d in zip(group["cluster_id"], group["dist"], strict=True) if c != old]
-            room = [(c, d) for c, d in others if count[c] < limit]
-            if not others:
-                continue
-            to, dist = room[0] if room else min(others, key=lambda x: (count[x[0]], x[0]))
-            count[old] -= 1
-            count[to] += 1
-            moves.append((int(vec), int(to), float(np.sqrt(dist))))
-        if not moves:
+        # one row for each cluster
+        n = F.broadcast(spark.createDataFrame(count, "_c long, _n long"))
+        offered = now.join(n.where(F.col("_n") > limit), F.col("cluster_id") == F.col("_c")).selectExpr("vec_id", "cluster_id as _old", "_n as _from", "row_number() over (partition by cluster_id order by vec_id) as _at")
+        offered = written(offered.where(F.col("_at") <= F.col("_from") - limit).drop("_at"), "capped-offered")
+        to = probes(offered.join(rows.select("vec_id", vector), "vec_id"), centers, near, "vec_id", vector)
+        to = to.join(n, F.col("cluster_id") == F.col("_c")).join(offered, "vec_id").where("cluster_id != _old")
+        full = F.col("_n") >= limit
+        best = F.min(F.struct(full.alias("full"), F.when(full, F.col("_n")).otherwise(F.col("rank").cast("long")).alias("by"), F.col("cluster_id").alias("_to"), F.sqrt("dist").alias("_dist"), "_n", "_from"))
+        asked = to.groupBy("vec_id").agg(best.alias("b")).select("vec_id", "b.*")
+        room = F.when(F.col("full"), F.floor((F.col("_from") - F.col("_n")) / 2)).otherwise(limit - F.col("_n"))
+        turn = F.row_number().over(Window.partitionBy("_to").orderBy("_dist", "vec_id"))
+        moves = written(asked.withColumn("_at", turn).where(F.col("_at") <= room).select("vec_id", "_to", "_dist"), "capped-moves")
+        if moves.isEmpty():
+            dropped(offered, moves)
             break
-        table = spark.createDataFrame(moves, "vec_id long, _to long, _dist double")
-        now = now.join(table, "vec_id", "left").select("vec_id", F.coalesce("_to", "cluster_id").alias("cluster_id"), F.coalesce("_dist", "dist").alias("dist"), (F.col("moved") | F.col("_to").isNotNull()).alias("moved"))
-        now = written(now, "capped")
-    return now
+        now = now.join(moves, "vec_id", "left").select("vec_id", F.coalesce("_to", "cluster_id").alias("cluster_id"), F.coalesce("_dist", "dist").alias("dist"), "home")
+        old, made = made, written(now, "capped")
+        dropped(offered, moves, *([old] if old is not None else []))
+        now = made
+    return now.select("vec_id", "cluster_id", "dist", (F.col("cluster_id") != F.col("home")).alias("moved"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,7 +104,8 @@ def beamed(queries: DataFrame, index: DataFrame, base: DataFrame, centroids: Dat
     """Like :func:`scored`, but walks each cluster's graph from its entry point with a beam of ``ef`` nodes.
 
     A popped node goes into the result with its score, the entry point with
-    its exact distance; its neighbours that weren't visited join the beam.
+    its exact distance; its neighbours that weren't visited are scored and join
+    the beam, so the work of a query grows with ``ef`` and not with the cluster.
     """
     if ef > post_ef and post_ef < 1:
         raise ValueError("post_ef must be at least 1")
@@ -121,21 +122,18 @@ def beamed(queries: DataFrame, index: DataFrame, base: DataFrame, centroids: Dat
             start, ids = int(c.index[c["entry"]][0]), c["vec_id"].to_numpy(np.int64)
             turned, x = kernels.rotate(np.stack(q["x"])), np.stack(q["x"])
             first = ((x - np.asarray(c["entry_x"][start])) ** 2).sum(1)
-            # a cluster is capped, so all its scores at once are a bounded block and gather no edges
             bits, factor, edges = kernels.unpack(list(c["code"]), turned.shape[1]), c["factor"].to_numpy(), [np.asarray(n, np.int64) for n in c["neighbors"]]
             cluster = int(c["cluster_id"].iloc[0])
-            for begin in range(0, len(q), 256):
-                approx = kernels.approximate(bits, factor, turned[begin : begin + 256])
-                for r in range(len(approx)):
-                    got = beam(start, float(first[begin + r]), edges, approx[r], ids, ef, post_ef)
-                    rows += [(int(q["query_id"].iloc[begin + r]), cluster, int(ids[v]), s) for s, _, v in got]
+            for r, query in enumerate(q["query_id"].tolist()):
+                score = lambda v: kernels.approximate(bits[v], factor[v], turned[r : r + 1])[0]  # noqa: B023, E731
+                rows += [(query, cluster, int(ids[v]), s) for s, _, v in beam(start, float(first[r]), edges, score, ids, ef, post_ef)]
         return pd.DataFrame(rows, columns=["query_id", "cluster_id", "vec_id", "approx"])
 
     return asked.groupBy("cluster_id", "slot").cogroup(nodes.groupBy("cluster_id", "slot")).applyInPandas(walk, "query_id long, cluster_id long, vec_id long, approx double")
 
 
-def beam(start: int, first: float, edges: list[np.ndarray], approx: np.ndarray, ids: np.ndarray, ef: int, post_ef: int) -> list[tuple[float, int, int]]:
-    """(score, vec_id, node) of the result of one walk, best first."""
+def beam(start: int, first: float, edges: list[np.ndarray], score: Callable[[np.ndarray], np.ndarray], ids: np.ndarray, ef: int, post_ef: int) -> list[tuple[float, int, int]]:
+    """(score, vec_id, node) of the result of one walk, best first; only nodes that the walk meets are scored."""
     seen = np.zeros(len(edges), bool)
     seen[start] = True
     open_ = [(first, int(ids[start]), start)]
@@ -149,8 +147,10 @@ def beam(start: int, first: float, edges: list[np.ndarray], approx: np.ndarray,
         new = edges[u][~seen[edges[u]]]
         new = np.unique(new)
         seen[new] = True
-        for v in new.tolist():
-            item = (float(approx[v]), int(ids[v]), v)
+        if not len(new):
+            continue
+        for v, near in zip(new.tolist(), score(new).tolist(), strict=True):
+            item = (near, int(ids[v]), v)
             if len(held) < ef or item < held[-1]:
                 heapq.heappush(open_, item)
                 held.append(item)

@@ -176,6 +176,31 @@ def test_capping(made):
         partition.capped(base, a, centroids, limit=3)
 
 
+def test_capping_moves_on_from_full_neighbours(spark):
+    """One hot cluster whose only near neighbour fills up: rows go on over rounds, distances are those of the new centroid."""
+    x = np.array([[0.001 * i, 0.0] for i in range(90)])
+    base = frame(spark, x)
+    centers = [[float(c), 0.0] for c in range(5)]
+    centroids = spark.createDataFrame([(i, c) for i, c in enumerate(centers)], "cluster_id long, centroid array<double>")
+    got = partition.capped(base, partition.assigned(base, centroids), centroids, limit=20).collect()
+    assert sorted(r["vec_id"] for r in got) == list(range(90))
+    assert max(np.bincount([r["cluster_id"] for r in got])) <= 20
+    for r in got:
+        assert r["moved"] == (r["cluster_id"] != 0)
+        assert abs(r["dist"] - np.linalg.norm(x[r["vec_id"]] - centers[r["cluster_id"]])) < 1e-9
+    # the three nearest of every row hold 60 rows only, so the rest is spread over them
+    tight = partition.capped(base, partition.assigned(base, centroids), centroids, limit=20, near=3, rounds=8).collect()
+    assert len(tight) == 90 and {r["cluster_id"] for r in tight} == {0, 1, 2}
+    assert max(np.bincount([r["cluster_id"] for r in tight])) <= 40
+
+
+def test_walk_scores_only_what_it_meets():
+    edges = [np.array(e) for e in ([1, 2], [3], [0], [1], [0])]
+    near, met = np.array([9.0, 1.0, 2.0, 0.5, 0.0]), []
+    got = search.beam(0, 9.0, edges, lambda v: met.extend(v.tolist()) or near[v], np.arange(5), 5, 5)
+    assert sorted(met) == [1, 2, 3] and [v for _, _, v in got] == [3, 1, 2, 0]
+
+
 def test_cluster_tables(spark):
     a = spark.createDataFrame([(1, 0, 2.0), (2, 0, 4.0), (3, 2, 1.0)], "vec_id long, cluster_id long, dist double")
     c = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [2.0])], "cluster_id long, centroid array<double>")
