@@ -16,13 +16,20 @@ def rotation_diagonal(p: int) -> np.ndarray:
     return (1 - 2 * (bits % 2)) / np.sqrt(p)
 
 
-def rotate(x: np.ndarray) -> np.ndarray:
-    """Rows padded to a power of two, scaled by the diagonal, through the fast Hadamard transform."""
+def seeded_diagonal(p: int, seed: int) -> np.ndarray:
+    """Random signs over sqrt(p), the same for a seed."""
+    return (1 - 2 * np.random.default_rng(seed).integers(2, size=p)) / np.sqrt(p)
+
+
+def rotate(x: np.ndarray, diagonal: np.ndarray | None = None) -> np.ndarray:
+    """Rows padded to a power of two, scaled by the diagonal (the fixed one unless given), through the fast Hadamard transform."""
     n, d = x.shape
     p = padded_dim(d)
+    if diagonal is not None and len(diagonal) != p:
+        raise ValueError(f"a diagonal of {len(diagonal)} for {p} dimensions")
     y = np.zeros((n, p))
     y[:, :d] = x
-    y *= rotation_diagonal(p)
+    y *= rotation_diagonal(p) if diagonal is None else diagonal
     h = 1
     while h < p:
         z = y.reshape(n, p // (2 * h), 2, h)
@@ -55,6 +62,20 @@ def approximate(bits: np.ndarray, factor: np.ndarray, rotated_queries: np.ndarra
     return factor[None, :] + (2 * (q @ bits.T.astype(np.float64)) - q.sum(1)[:, None]) / 4
 
 
+def approximate_whole(bits: np.ndarray, factor: np.ndarray, rotated_queries: np.ndarray) -> np.ndarray:
+    """:func:`approximate` in whole numbers: factors, the scaled query and its sum are cut towards zero, the quarter is rounded down.
+
+    Components and sums need to fit in 16 bits, factors in 32; others raise an error instead of wrapping round.
+    """
+    q = rotated_queries * QUERY_SCALE
+    whole, total, f = np.trunc(q), np.trunc(q.sum(1)), np.trunc(factor)
+    for v, top in ((whole, 1 << 15), (total, 1 << 15), (f, 1 << 31)):
+        if v.size and (v.min() < -top or v.max() >= top):
+            raise OverflowError(f"a value beyond {top}")
+    # sums of whole doubles this small are exact
+    return f[None, :] + np.floor((2 * (whole @ bits.T.astype(np.float64)) - total[:, None]) / 4)
+
+
 def pack(bits: np.ndarray) -> list[bytes]:
     return [b.tobytes() for b in np.packbits(bits, axis=1)]
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
+import resource
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -71,6 +73,60 @@ def timed(run: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
     return out, time.perf_counter() - start
 
 
+class Stages:
+    """Seconds by stage: ``with stages("probe"): ...``; a stage inside another is named after both and counts in both.
+
+    Spark works when a result is asked for, so a stage counts what is evaluated in it.
+    """
+
+    def __init__(self) -> None:
+        self.seconds: dict[str, float] = {}
+        self.calls: dict[str, int] = {}
+        self._open: list[str] = []
+
+    @contextlib.contextmanager
+    def __call__(self, name: str) -> Iterator[None]:
+        self._open.append(name)
+        at, start = "/".join(self._open), time.perf_counter()
+        try:
+            yield
+        finally:
+            self._open.pop()
+            self.seconds[at] = self.seconds.get(at, 0.0) + time.perf_counter() - start
+            self.calls[at] = self.calls.get(at, 0) + 1
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(stage, calls, seconds), in the order in which stages first ended."""
+        return spark.createDataFrame([(s, self.calls[s], t) for s, t in self.seconds.items()], "stage string, calls long, seconds double")
+
+
+def memory(spark: SparkSession) -> DataFrame:
+    """(process, storage_limit, storage_used, peak_resident): bytes of each block manager, and the peak of this Python driver."""
+    held = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
+    rows, each = [], held.iterator()
+    while each.hasNext():
+        entry = each.next()
+        rows.append((entry._1(), entry._2()._1(), entry._2()._1() - entry._2()._2(), None))
+    rows.append(("python", None, None, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024))
+    return spark.createDataFrame(rows, "process string, storage_limit long, storage_used long, peak_resident long")
+
+
+def callback_rounds(spark: SparkSession, queries: int, answers: int, k: int, rounds: int = 3, seed: int = 1) -> DataFrame:
+    """(round, ms): how long the k best of made-up answers (query_id, vec_id, dist) take to be found and counted.
+
+    A test of merging alone; distances come from a hash, so each round has the same rows.
+    """
+    from .search import top
+
+    out = []
+    for r in range(rounds):
+        made = spark.range(queries * answers).selectExpr(f"id div {int(answers)} as query_id", f"id % {int(answers)} as vec_id", f"shiftrightunsigned(xxhash64({int(seed)}, id), 11) / {float(1 << 53)}D as dist")
+        start = time.perf_counter()
+        top(made, k, ["query_id"], ["dist", "vec_id"]).agg(F.count(F.lit(1)), F.sum("dist")).first()
+        out.append((r, (time.perf_counter() - start) * 1000))
+    return spark.createDataFrame(out, "round int, ms double")
+
+
 def sweep(search: Callable[[int], DataFrame], truth: DataFrame, queries: int, k: int, sizes: Iterable[int] | None = None, enough: float = 99.8, gain: float = 0.05, slow: float = 10.0) -> list[dict]:
     """Runs ``search`` with growing beam sizes until recall is ``enough``, gains less than ``gain``, or falls under ``slow`` queries a second."""
     out: list[dict] = []

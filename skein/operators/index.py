@@ -28,11 +28,11 @@ def encoded(rows: DataFrame, assignment: DataFrame, centroids: DataFrame | Cente
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
-        turned = kernels.rotate(c.matrix)
+        turned = kernels.rotate(c.matrix, c.diagonal)
         for df in batches:
             if not len(df):
                 continue
-            r = kernels.rotate(np.stack(df["x"]))
+            r = kernels.rotate(np.stack(df["x"]), c.diagonal)
             at = np.searchsorted(c.ids, df["cluster_id"].to_numpy())
             codes, factors = np.empty(len(df), object), np.empty(len(df))
             for i in np.unique(at):
@@ -189,7 +189,7 @@ def graph_index(rows: DataFrame, assignment: DataFrame, centroids: DataFrame | C
         df = df.sort_values("vec_id").reset_index(drop=True)
         c, x, cluster = shared.value, np.stack(df["x"]), int(df["cluster_id"].iloc[0])
         g = ClusterGraph(x, degree, ef, seed + cluster).build(rounds)
-        bits, factor = kernels.encode(kernels.rotate(x), kernels.rotate(c.matrix[np.searchsorted(c.ids, cluster)][None])[0])
+        bits, factor = kernels.encode(kernels.rotate(x, c.diagonal), kernels.rotate(c.matrix[np.searchsorted(c.ids, cluster)][None], c.diagonal)[0])
         return pd.DataFrame({"cluster_id": cluster, "local_id": np.arange(len(df), dtype=np.int32), "vec_id": df["vec_id"], "neighbors": g.out, "code": kernels.pack(bits), "factor": factor, "entry": np.arange(len(df)) == g.entry})
 
     both = rows.where(F.col(vector).isNotNull()).select("vec_id", doubles(F.col(vector)).alias("x")).join(assignment.select("vec_id", "cluster_id"), "vec_id")

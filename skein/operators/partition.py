@@ -27,9 +27,15 @@ def centroids_of(rows: DataFrame, cluster: str = "cluster_id", vector: str = "em
 
 
 class Centers:
-    """Centroids on the driver, in the order of their ids: at most ``limit`` (the number of clusters is a parameter, not a size of the data)."""
+    """Centroids on the driver, in the order of their ids: at most ``limit`` (the number of clusters is a parameter, not a size of the data).
 
-    def __init__(self, table: DataFrame, limit: int = 1 << 16):
+    ``diagonal`` is that of the rotation of codes and queries; None is the fixed one.
+    """
+
+    diagonal: np.ndarray | None = None
+
+    def __init__(self, table: DataFrame, limit: int = 1 << 16, diagonal: np.ndarray | None = None):
+        self.diagonal = diagonal
         rows = table.select("cluster_id", doubles(F.col("centroid")).alias("centroid")).limit(limit + 1).toArrow().to_pandas().sort_values("cluster_id")
         if len(rows) > limit:
             raise ValueError(f"more than {limit} clusters")

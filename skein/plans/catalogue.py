@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import balance, evaluate, index, partition, search
+from ..operators.handle import VectorIndex
 from ..scratch import shared_dir, written
 from ..sources import vectors as files
 from ..streaming import search as streaming
@@ -412,6 +413,21 @@ def ivf_scan_search_top10(spark, d):
     return _rounded(_scan(spark, d)[0])
 
 
+@query(f"WITH {_search_sql('query_id, cluster_id')} {_neighbors('found')}")
+def placed_search_top10(spark, d):
+    placed = balance.placement(_replicas_of(spark, d)[1], WORKERS)
+    return _rounded(_scan(spark, d, placed=written(placed, "catalogue-placed"))[0])
+
+
+@query(f"WITH {_search_sql('query_id, cluster_id')} {_neighbors('found')}")
+def saved_index_search_top10(spark, d):
+    base = base_of(spark, d)
+    path = f"{shared_dir(spark)}/skein/index-{uuid.uuid4().hex}"
+    rows = base.where(F.col("embedding").isNotNull())
+    VectorIndex.build(rows.select("vec_id", "embedding"), partition.centroids_of(rows), rows.select("vec_id", "cluster_id")).save(path)
+    return _rounded(VectorIndex.load(spark, path, base).search(queries_of(base), K, NPROBE, POST_EF))
+
+
 @query(f"WITH {_search_sql('query_id')} {_neighbors('found')}")
 def ivf_query_pool_top10(spark, d):
     return _rounded(_scan(spark, d, pool="query")[0])

@@ -28,13 +28,16 @@ def read_cluster_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_cluster_map(members: DataFrame, path: str, form: str = "parquet") -> None:
-    """A map as parquet, or as text or JSON with a line for each cluster."""
+    """A map as parquet, as text or JSON with a line for each cluster, or as a folder of binary files of whole clusters."""
     if form == "parquet":
         members.write.parquet(path)
         return
     ids = F.transform(F.array_sort(F.collect_list(F.struct("local_id", "vec_id"))), lambda s: s["vec_id"])
     each = members.groupBy("cluster_id").agg(ids.alias("ids"))
-    if form == "txt":
+    if form == "bin":
+        vectors.register(members.sparkSession)
+        each.write.format("xclusters").mode("append").save(path)
+    elif form == "txt":
         each.select(F.concat_ws(" ", F.col("cluster_id").cast("string"), F.array_join(F.col("ids").cast("array<string>"), " ")).alias("value")).write.text(path)
     elif form == "json":
         each.select(F.to_json(F.create_map(F.col("cluster_id").cast("string"), F.col("ids"))).alias("value")).write.text(path)

@@ -187,9 +187,11 @@ class Written(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     """A file of records for each partition, named by the task; the columns are an id, which is dropped, and the vector."""
 
+    forms = ("fvecs", "ivecs", "bvecs")
+
     def __init__(self, options: dict, schema, overwrite: bool):
         self.path, self.form = options["path"].rstrip("/"), options.get("vectorformat", "fvecs")
-        if self.form not in ("fvecs", "ivecs", "bvecs"):
+        if self.form not in self.forms:
             raise ValueError(f"can't write {self.form}")
         store, at = opened(self.path)
         if store.get_file_info(at).type != fs.FileType.NotFound:
@@ -276,19 +278,20 @@ class _ClusterReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[Rows]:
-        (path, size), *_ = self.pieces
-        out = []
-        with self.store.open_input_file(path) as f:
-            raw = f.read(4)
-            count = int(np.frombuffer(raw, "<i4")[0]) if len(raw) == 4 else 0
-            at = 4
-            for _ in range(count):
-                f.seek(at)
-                head = np.frombuffer(f.read(8), "<i4")
-                if len(head) < 2 or at + 8 + 4 * int(head[1]) > size:
-                    raise OSError(f"{self.path} ends inside a cluster")
-                out.append(Rows(0, int(head[1]), at + 8, int(head[0])))
-                at += 8 + 4 * int(head[1])
+        out, before = [], 0
+        for path, size in self.pieces:
+            with self.store.open_input_file(path) as f:
+                raw = f.read(4)
+                count = int(np.frombuffer(raw, "<i4")[0]) if len(raw) == 4 else 0
+                at = 4
+                for _ in range(count):
+                    f.seek(at)
+                    head = np.frombuffer(f.read(8), "<i4")
+                    if len(head) < 2 or at + 8 + 4 * int(head[1]) > size:
+                        raise OSError(f"{path} ends inside a cluster")
+                    out.append(Rows(0, int(head[1]), before + at + 8, int(head[0])))
+                    at += 8 + 4 * int(head[1])
+            before += size
         return out or [Rows(0, 0)]
 
     def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
@@ -296,6 +299,33 @@ class _ClusterReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part.key), pa.int64()), pa.array(np.arange(len(ids)), pa.int64()), pa.array(ids)], ["cluster_id", "local_id", "vec_id"])
 
 
+class _ClusterWriter(_Writer):
+    """A file for each partition: the number of its clusters, then of each its id, its size and its ids; rows are (cluster_id, ids)."""
+
+    forms = ("clusters",)
+
+    def write(self, rows) -> Written:
+        from pyspark import TaskContext
+
+        store, at = opened(self.path)
+        store.create_dir(at)
+        task = TaskContext.get()
+        name, records = f"{at}/part-{task.partitionId():06d}.bin", []
+        for cluster, ids in rows:
+            x = np.asarray(ids, np.int64)
+            if len(x) and not -(1 << 31) <= min(x.min(), cluster) <= max(x.max(), cluster) < 1 << 31:
+                raise OverflowError(f"cluster {cluster} has an id beyond 32 bits")
+            records.append(np.array([cluster, len(x)], "<i4").tobytes() + x.astype("<i4").tobytes())
+        if records:
+            temporary = f"{name}.{task.taskAttemptId()}"
+            with store.open_output_stream(temporary) as f:
+                f.write(np.int32(len(records)).tobytes())
+                for r in records:
+                    f.write(r)
+            store.move(temporary, name)
+        return Written(name, len(records))
+
+
 class XClusters(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -307,6 +337,9 @@ class XClusters(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _ClusterReader(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _ClusterWriter({**self.options, "vectorformat": "clusters"}, schema, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     """Makes the formats xvecs, xbin, xtruth and xclusters known to a session."""

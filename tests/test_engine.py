@@ -1,9 +1,13 @@
+import re
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from skein.functions import kernels
 from skein.functions import vectors as V
 from skein.operators import balance, evaluate, index, partition, search
+from skein.operators.handle import VectorIndex
 
 
 def frame(spark, x, ids=None, key="vec_id"):
@@ -246,3 +250,97 @@ def test_evaluate(spark):
 def test_merged_results(spark):
     a = spark.createDataFrame([(0, 1, 2.0), (0, 2, 3.0)], "query_id long, vec_id long, dist double")
     assert [tuple(r) for r in search.merged([a, a], 3).orderBy("rank").collect()] == [(0, 1, 1, 2.0), (0, 2, 2, 3.0)]
+
+
+def test_saved_index_opens_probed_clusters_only(made, spark, tmp_path):
+    _, _, base, queries, centroids = made
+    path = f"{tmp_path}/handle"
+    built = VectorIndex.build(base, centroids, seed=7)
+    assert (built.dimension, built.padded, len(built.diagonal)) == (40, 64, 64)
+    built.save(path)
+    again = VectorIndex.load(spark, path, base)
+    assert (again.diagonal == built.diagonal).all() and (again.diagonal != kernels.rotation_diagonal(64)).any()
+    assert sorted(map(tuple, again.sizes().collect())) == sorted(map(tuple, built.sizes().collect()))
+    key = lambda d: [tuple(r) for r in d.orderBy("query_id", "rank").collect()]
+    assert key(again.search(queries, 10, 8, 300)) == key(search.exact_knn(queries, base, 10))
+    one = again.search(queries.where("query_id = 3"), 5, 2, 20)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    probed = sorted(r["cluster_id"] for r in partition.probes(queries.where("query_id = 3"), centroids, 2, "query_id").collect())
+    opened = re.search(r"PartitionFilters: \[cluster_id#\d+ IN \(([\d,]+)\)", plan)
+    assert sorted(map(int, opened[1].split(","))) == probed
+    r = again.elements(5).first()
+    assert len(r["code"]) == 8 and list(r["embedding"]) == list(base.where("vec_id = 5").first()["embedding"])
+
+    shutil.rmtree(next((tmp_path / "handle" / "rows").glob("cluster_id=*")))
+    with pytest.raises(ValueError, match="not complete"):
+        VectorIndex.load(spark, path, base)
+    with pytest.raises(ValueError):
+        kernels.rotate(np.ones((1, 40)), np.ones(32))
+
+
+def test_placement_gives_the_same_neighbours(made, spark):
+    _, _, base, queries, centroids = made
+    handle = VectorIndex.build(base, centroids)
+    probed = partition.probes(queries, handle.centers, 3, "query_id")
+    placed = balance.placement(balance.replicas(balance.workload(probed, handle.sizes()), 4), 4).cache()
+    assert placed.where("replica > 0").count() > 0
+    key = lambda d: [tuple(r) for r in d.orderBy("query_id", "rank").collect()]
+    want = key(handle.search(queries, 10, 3, 30))
+    assert key(handle.search(queries, 10, 3, 30, placed=placed)) == want
+    # what is placed nowhere is searched all the same
+    assert key(handle.search(queries, 10, 3, 30, placed=placed.where("cluster_id > 3"))) == want
+    pooled = handle.search(queries, 10, 3, 300, placed=placed, pool="worker")
+    assert key(pooled) == key(handle.search(queries, 10, 3, 300))
+    with pytest.raises(ValueError):
+        handle.search(queries, pool="worker")
+
+
+def test_singletons_may_be_left_out(spark):
+    base = frame(spark, [[0, 0], [0, 1], [9, 9]])
+    centroids = spark.createDataFrame([(0, [0.0, 0.5]), (1, [9.0, 9.0])], "cluster_id long, centroid array<double>")
+    handle, q = VectorIndex.build(base, centroids), frame(spark, [[8, 8]], key="query_id")
+    found = lambda **o: [r["vec_id"] for r in handle.search(q, 3, 2, 5, **o).orderBy("rank").collect()]
+    assert found() == [2, 1, 0] and found(drop_singletons=True) == [1, 0]
+
+
+def test_scores_in_whole_numbers(made):
+    rng = np.random.default_rng(3)
+    bits, factor, q = rng.random((30, 64)) < 0.5, rng.normal(size=30) * 900, rng.normal(size=(4, 64)) * 50
+    got = kernels.approximate_whole(bits, factor, q)
+    for i in range(4):
+        w, total = [int(v) for v in q[i] * kernels.QUERY_SCALE], int((q[i] * kernels.QUERY_SCALE).sum())
+        for j in range(30):
+            assert got[i, j] == int(factor[j]) + ((2 * sum(v for v, b in zip(w, bits[j], strict=True) if b) - total) >> 2)
+    with pytest.raises(OverflowError):
+        kernels.approximate_whole(bits, factor, q * 1e4)
+    _, _, base, queries, centroids = made
+    handle = VectorIndex.build(base, centroids)
+    exact = search.exact_knn(queries, base, 10)
+    assert evaluate.recall(handle.search(queries, 10, 8, 60, whole=True), exact, 10).first()["recall"] > 90
+
+
+def test_short_results_are_topped_up(made):
+    x, q, base, queries, centroids = made
+    graph = index.graph_index(base, partition.assigned(base, centroids), centroids, degree=8).cache()
+    few = search.exact_knn(queries, base, 2)
+    full = few.where("query_id < 5").unionByName(search.exact_knn(queries, base, 6).where("query_id >= 5"))
+    got = search.topped_up(full, graph, queries, base, 6).toPandas()
+    assert (got.groupby("query_id").size() == 6).all()
+    edges = {r["vec_id"]: (r["cluster_id"], r["neighbors"]) for r in graph.collect()}
+    at = {(r["cluster_id"], r["local_id"]): r["vec_id"] for r in graph.collect()}
+    for query in range(5):
+        own = [int(v) for v in truth(x, q, 2)[query]]
+        every = sorted(set(own) | {at[edges[v][0], n] for v in own for n in edges[v][1]}, key=lambda v: ((x[v] - q[query]) ** 2).sum())
+        assert got[got["query_id"] == query].sort_values("rank")["vec_id"].tolist() == every[:6]
+
+
+def test_stage_times_and_memory(spark):
+    stages = evaluate.Stages()
+    for _ in range(2):
+        with stages("search"), stages("probe"):
+            spark.range(10).count()
+    got = {r["stage"]: r for r in stages.report(spark).collect()}
+    assert set(got) == {"search", "search/probe"} and got["search"]["calls"] == 2 and got["search"]["seconds"] >= got["search/probe"]["seconds"] > 0
+    held = evaluate.memory(spark).collect()
+    assert held[-1]["peak_resident"] > 1 << 20 and held[0]["storage_limit"] > 0
+    assert evaluate.callback_rounds(spark, 20, 50, 5, rounds=2).where("ms > 0").count() == 2

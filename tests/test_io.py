@@ -88,7 +88,7 @@ def test_truth_and_cluster_maps(spark, tmp_path):
     for end in ("bin", "txt", "json"):
         assert sorted(map(tuple, T.read_cluster_map(spark, f"{tmp_path}/m.{end}").collect())) == want
     table = T.read_cluster_map(spark, f"{tmp_path}/m.txt")
-    for form in ("parquet", "txt", "json"):
+    for form in ("parquet", "txt", "json", "bin"):
         T.write_cluster_map(table, f"{tmp_path}/out.{form}", form)
         assert sorted(map(tuple, T.read_cluster_map(spark, f"{tmp_path}/out.{form}").collect())) == want
     (tmp_path / "cut.bin").write_bytes(np.array([1, 0, 5, 4], "<i4").tobytes())
