@@ -105,12 +105,16 @@ def kmeans(rows: DataFrame, k: int, vector: str = "embedding", sample: int = 65_
             c = shared.value
             sums, counts = np.zeros_like(c.matrix), np.zeros(len(c.ids), np.int64)
             for df in batches:
+                if not len(df):
+                    continue
                 x = np.stack(df["x"])
                 near, _ = kernels.nearest(x, c.matrix, c.ids, 1)
                 np.add.at(sums, near[:, 0], x)
                 counts += np.bincount(near[:, 0], minlength=len(c.ids))
             some = np.flatnonzero(counts)
-            yield pd.DataFrame({"cluster_id": some, "n": counts[some], "s": list(sums[some])})
+            # Arrow takes no column without rows for lists, and a part of a large file may have no rows
+            if len(some):
+                yield pd.DataFrame({"cluster_id": some, "n": counts[some], "s": list(sums[some])})
 
         # one row for each cluster and task
         got = rows.select(doubles(F.col(vector)).alias("x")).mapInPandas(partial, "cluster_id long, n long, s array<double>")

@@ -137,6 +137,28 @@ def test_kmeans_brute_force(spark):
     assert partition.kmeans(same, 2, sample=2).count() == 2 and partition.kmeans(same, 4).count() == 2
 
 
+@pytest.fixture()
+def parts_without_rows(spark, tmp_path):
+    """200 vectors in a file of one row group that is read in many parts, so all parts but one have no rows."""
+    frame(spark, np.random.default_rng(6).normal(size=(200, 64))).coalesce(1).write.parquet(f"{tmp_path}/one")
+    keys = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    base = spark.read.parquet(f"{tmp_path}/one")
+    assert base.rdd.getNumPartitions() > 4
+    yield base
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_kmeans_of_parts_without_rows(parts_without_rows):
+    base = parts_without_rows
+    whole = partition.kmeans(base.coalesce(1), 4, rounds=60).orderBy("cluster_id").collect()
+    got = partition.kmeans(base, 4, rounds=60).orderBy("cluster_id").collect()
+    assert len(got) == 4 and np.allclose([r["centroid"] for r in got], [r["centroid"] for r in whole])
+
+
 def test_scaling_model(spark):
     """Against the same formula in closed form, without spread; with it, reruns agree on any number of partitions."""
     got = {r["nodes"]: r["qps"] for r in evaluate.scaling(spark, (1, 4), 50, 2.0, 1000, 500, 0.5, 1.0, 0.25, spread=0.0).collect()}
