@@ -202,6 +202,15 @@ def test_capping(made):
         partition.capped(base, a, centroids, limit=3)
 
 
+def test_capping_of_parts_without_rows(parts_without_rows):
+    """The clusters of k-means, assignment and capping, all from a file whose parts have no rows but for one."""
+    base = parts_without_rows
+    centroids = partition.kmeans(base, 4)
+    got = partition.capped(base, partition.assigned(base, centroids), centroids, limit=55).collect()
+    assert sorted(r["vec_id"] for r in got) == list(range(200))
+    assert max(np.bincount([r["cluster_id"] for r in got])) <= 55
+
+
 def test_capping_moves_on_from_full_neighbours(spark):
     """One hot cluster whose only near neighbour fills up: rows go on over rounds, distances are those of the new centroid."""
     x = np.array([[0.001 * i, 0.0] for i in range(90)])
