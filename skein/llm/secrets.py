@@ -3,9 +3,9 @@
 Every text is scanned for three kinds of secret (:data:`KINDS`).  Then its
 encoded parts are unwrapped: URL escapes, Unicode escapes, base64 (of UTF-8 or
 UTF-16, beginning at any character of a run) and, inside base64, zlib, gzip or
-raw deflate streams.  What can't be decoded inside a layer, such as a bad byte
-or a control character, becomes U+FFFD and the rest is kept; a stream that is
-broken is read as far as it goes.  Each unwrapped layer goes on a worklist, is
+raw deflate streams, whatever they begin with.  What can't be decoded inside a
+layer, such as a bad byte or a control character, becomes U+FFFD and the rest
+is kept; a stream that is broken is read as far as it goes.  Each unwrapped layer goes on a worklist, is
 scanned in turn and unwrapped further until nothing new appears.  A layer that
 was seen before (by its content) is not opened again, which ends cycles.  Each
 layer remembers where its characters come from, so that a span found in it is
@@ -50,6 +50,10 @@ _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[
 _END = re.compile(r"(?:[^A-Za-z0-9+/_\s-]|\n)[\x20\t\r]*\n")
 #: Bytes inflated at a time, and the least characters of a piece of an inflated layer.
 _PIECE = 1 << 20
+# compressed bytes that are read at a time, and those after which what inflates without an error is no chance
+_STEP, _SURE = 1 << 10, 1 << 9
+# a hexadecimal run of fewer different digits may be a copy made by what only looks like a stream
+_DIGITS = 6
 
 Span = tuple[int, int, int]
 
@@ -81,11 +85,23 @@ def _legible(raw: bytes) -> Iterator[tuple[str, np.ndarray, int]]:
         s = raw.decode("utf-8", "surrogateescape")
         width = np.ones(len(s), np.int64) if s.isascii() else np.array([1 if "\ud800" <= c <= "\udfff" else len(c.encode()) for c in s])
         yield _clean(s), width, 0
+    for name, first in sorted(_wide(raw)):
+        even = raw[first : first + (len(raw) - first) // 2 * 2]
+        s = even.decode(name, "surrogatepass")
+        yield _clean(s), np.array([4 if c > "\uffff" else 2 for c in s]), first
+
+
+def _wide(raw: bytes) -> set[tuple[str, int]]:
+    """The kinds of UTF-16 that ``raw`` may hold, and whether its characters begin at even or odd places; it may change along the way."""
+    found: set[tuple[str, int]] = set()
+    if b"\0" not in raw:
+        return found
     for name, pattern in _TEXT_16.items():
-        for first in {m.start() % 2 for m in itertools.islice(pattern.finditer(raw), 8)}:
-            even = raw[first : first + (len(raw) - first) // 2 * 2]
-            s = even.decode(name, "surrogatepass")
-            yield _clean(s), np.array([4 if c > "\uffff" else 2 for c in s]), first
+        for m in pattern.finditer(raw):
+            found.add((name, m.start() % 2))
+            if {(name, 0), (name, 1)} <= found:
+                break
+    return found
 
 
 def _streams(raw: bytes, run: str, off: int) -> Iterator[tuple[int, int]]:
@@ -110,48 +126,84 @@ def _headed(raw: bytes, at: int) -> Iterator[tuple[int, int]]:
 
 
 def _inflated(raw: bytes, bits: int, left: list[int] | None = None) -> Iterator[bytes]:
-    """The content of a compressed stream in bounded parts, for gzip one member after another; a broken stream ends early.
+    """The content of a compressed stream in bounded parts, for gzip one member after another; a broken stream ends where it breaks.
 
     ``left`` is told how many bytes come after what was read in full.
     """
     left = [] if left is None else left
     left[:] = [len(raw)]
     while raw and (bits != 31 or raw[:2] == b"\x1f\x8b"):
-        stream = zlib.decompressobj(bits)
-        try:
-            while True:
-                part = stream.decompress(raw, _PIECE)
-                yield part
-                raw = stream.unconsumed_tail
-                if stream.eof or not (part or raw):
-                    break
-        except zlib.error:
+        stream, at, step = zlib.decompressobj(bits), 0, b""
+        while not stream.eof:
+            if not step:
+                step = raw[at : at + _STEP]
+                at += len(step)
+            before = stream.copy()
+            try:
+                part = stream.decompress(step, _PIECE)
+            except zlib.error:
+                yield _unbroken(before, step)
+                return
+            yield part
+            step = stream.unconsumed_tail
+            if not (part or step or at < len(raw)):
+                break
+        raw = stream.unused_data + raw[at:]
+        left[:] = [len(raw)]
+        if bits != 31:
             return
-        left[:] = [len(stream.unused_data)]
-        raw = stream.unused_data if bits == 31 else b""
-
-
-def _opens(raw: bytes, begin: int, bits: int) -> bool:
-    """Whether a stream begins there with something to read; only its first few bytes are inflated."""
-    stream, out = zlib.decompressobj(bits), b""
-    for i in range(begin, min(len(raw), begin + (1 << 16)), 32):
-        try:
-            out += stream.decompress(raw[i : i + 32], 4096)
-        except zlib.error:
-            break
-        if len(out) >= 64 or stream.eof:
-            break
+
+
+def _unbroken(stream, step: bytes) -> bytes:
+    """What ``stream`` makes of ``step`` before it breaks; a call that meets the break would return nothing."""
+    out = bytearray()
+    try:
+        for i in range(len(step)):
+            part = stream.decompress(step[i : i + 1], 1)
+            while part:
+                out += part
+                part = stream.decompress(stream.unconsumed_tail, 1)
+    except zlib.error:
+        pass
+    return bytes(out)
+
+
+def _opens(raw: bytes, begin: int, bits: int) -> tuple[bool, bool]:
+    """Whether a stream that may hold a secret begins there, and whether it surely is one.
+
+    What it holds needs not begin as text.  gzip, a checksum that fits and
+    ``_SURE`` bytes without an error are proof enough.  Much that is shorter
+    looks like a stream by chance, so there all that it holds is read: it is
+    surely a stream if that is text for the most part, and if it breaks, text
+    of more than the few characters that chance spells out and copies.
+    """
+    head = raw[begin : begin + _SURE]
+    stream = zlib.decompressobj(bits)
+    try:
+        out, whole = stream.decompress(head), True
+    except zlib.error:
+        out, whole = _unbroken(zlib.decompressobj(bits), head), False
     if bits == 31:
-        return bool(out)
-    # much looks like zlib and anything like raw deflate, so their first bytes need to be text for the most part
+        return whole or bool(out), True
+    if whole and (bits > 0 if stream.eof else len(raw) - begin > _SURE):
+        return True, True
     text = _clean(out.decode("utf-8", "replace"))
-    return (bits > 0 or len(out) >= 16) and text.count("\ufffd") <= len(text) * (0.2 if bits > 0 else 0.05) and bool(text)
+    plain = text.count("\ufffd") <= len(text) * (0.2 if bits > 0 else 0.05)
+    return len(out) >= 16, plain and (whole or len(set(text)) >= 16)
 
 
-def _pieces(raw: bytes, bits: int, left: list[int] | None = None) -> Iterator[str]:
-    """The text of an inflated layer in pieces that no secret or encoded run straddles; a piece without such an end goes on."""
-    decoder, parts, size = codecs.getincrementaldecoder("utf-8")("replace"), [], 0
+def _pieces(raw: bytes, bits: int, left: list[int] | None = None, encoding: str = "utf-8", first: int = 0, wide: set[tuple[str, int]] | None = None) -> Iterator[str]:
+    """The text of an inflated layer, from its byte ``first`` on, in pieces that no secret or encoded run straddles; a piece without such an end goes on.
+
+    ``wide`` is told of the UTF-16 that the layer may hold.
+    """
+    decoder, parts, size = codecs.getincrementaldecoder(encoding)("replace"), [], 0
+    tail, done = b"", 0
     for part in _inflated(raw, bits, left):
+        if wide is not None:
+            wide |= {(name, (i + done - len(tail)) % 2) for name, i in _wide(tail + part)}
+            tail, done = (tail + part)[-32:], done + len(part)
+        part, first = part[first:], max(0, first - len(part))
         parts.append(_clean(decoder.decode(part)))
         size += len(parts[-1])
         if size < _PIECE:
@@ -167,6 +219,14 @@ def _pieces(raw: bytes, bits: int, left: list[int] | None = None) -> Iterator[st
     yield "".join(parts)
 
 
+def _texts(raw: bytes, bits: int, left: list[int]) -> Iterator[str]:
+    """The pieces of an inflated layer as UTF-8, then as each kind of UTF-16 that it may hold."""
+    wide: set[tuple[str, int]] = set()
+    yield from _pieces(raw, bits, left, wide=wide)
+    for encoding, first in sorted(wide):
+        yield from _pieces(raw, bits, None, encoding, first)
+
+
 def _wrapped(text: str) -> Iterator[tuple[str, np.ndarray]]:
     """Base64 runs wrapped over lines, joined, and the places of their characters.
 
@@ -238,8 +298,8 @@ def _uni(run: str) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def _layers(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """What one step of unwrapping finds in ``text``, with the sources of the characters.
+def _layers(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, bool]]:
+    """What one step of unwrapping finds in ``text``, with the sources of the characters, and whether it surely is a layer.
 
     Escapes are replaced in the context of their line, since a key may stand
     plain beside an escaped value; base64 is opened run by run, and where runs
@@ -253,7 +313,7 @@ def _layers(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             begin, done = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
             done = len(text) if done < 0 else done
             if got := _escapes(text[begin:done], pattern, decode):
-                yield got[0], got[1] + begin, got[2] + begin
+                yield got[0], got[1] + begin, got[2] + begin, True
     runs = ((m[0], np.arange(m.start(), m.end())) for m in _B64.finditer(text))
     for run, at in itertools.chain(runs, _wrapped(text)):
         body = run.rstrip("=").translate(_TO_STANDARD)
@@ -262,17 +322,20 @@ def _layers(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         for off, raw in _aligned(body, 0, len(body)):
             for begin, bits in _streams(raw, body, off):
                 first, left = off + begin * 4 // 3, []
-                if not any(i <= first < j for i, j in taken) and _opens(raw, begin, bits):
-                    for s in _pieces(raw[begin:], bits, left):
-                        yield s, np.full(len(s), at[first]), np.full(len(s), at[-1] + 1)
-                    if left[0] < len(raw) - begin:
+                if any(i <= first < j for i, j in taken):
+                    continue
+                opens, sure = _opens(raw, begin, bits)
+                if opens:
+                    for s in _texts(raw[begin:], bits, left):
+                        yield s, np.full(len(s), at[first]), np.full(len(s), at[-1] + 1), sure
+                    if sure and left[0] < len(raw) - begin:
                         taken.append((first, off + -(-(len(raw) - left[0]) * 4 // 3)))
         taken = sorted(taken)
         for (_, i), (j, _) in zip(taken, [*taken[1:], (len(body), 0)], strict=True):
             for off, raw in _aligned(body, i, j):
                 for s, width, begin in _legible(raw):
                     end = begin + np.cumsum(width)
-                    yield s, at[off + (end - width) * 4 // 3], at[np.minimum(off + (end * 4 + 2) // 3, len(run)) - 1] + 1
+                    yield s, at[off + (end - width) * 4 // 3], at[np.minimum(off + (end * 4 + 2) // 3, len(run)) - 1] + 1, True
 
 
 def _aligned(body: str, i: int, j: int) -> Iterator[tuple[int, bytes]]:
@@ -297,13 +360,14 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
     base = scan(text)
     found = set(base)
     seen = {hashlib.blake2b(text.encode(), digest_size=16).digest()}
-    work = [(_layers(text), None, None)]
+    work = [(_layers(text), None, None, True)]
     while work:
-        layers, start, end = work[-1]
+        layers, start, end, known = work[-1]
         if (layer := next(layers, None)) is None:
             work.pop()
             continue
-        s, a, b = layer
+        s, a, b, sure = layer
+        sure &= known
         if not s:
             continue
         key = hashlib.blake2b(s.encode(), digest_size=16).digest()
@@ -312,8 +376,8 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
         if (key, int(a[0])) in seen:
             continue
         seen.add((key, int(a[0])))
-        found |= {(int(a[i]), k, int(b[j - 1])) for i, k, j in scan(s)}
-        work.append((_layers(s), a, b))
+        found |= {(int(a[i]), k, int(b[j - 1])) for i, k, j in scan(s) if sure or k != HEX or len(set(s[i:j])) >= _DIGITS}
+        work.append((_layers(s), a, b, sure))
     return base, sorted(found)
 
 
