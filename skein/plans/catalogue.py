@@ -510,7 +510,9 @@ def capped_assignment(spark, d):
     base = base_of(spark, d)
     centroids = written(partition.kmeans(base, 16), "catalogue-centroids")
     assignment = written(partition.assigned(base, centroids), "catalogue-assigned")
-    return partition.capped(base, assignment, centroids, limit=-(-assignment.count() // 12)).select("vec_id", "cluster_id", _r("dist"), "moved")
+    # few different vectors make fewer clusters than 12; then a cluster takes the least share that holds all rows
+    limit = -(-assignment.count() // min(12, max(1, centroids.count())))
+    return partition.capped(base, assignment, centroids, limit).select("vec_id", "cluster_id", _r("dist"), "moved")
 
 
 def _graph_of(base: DataFrame) -> tuple[DataFrame, partition.Centers]:

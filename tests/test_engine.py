@@ -8,6 +8,7 @@ from skein.functions import kernels
 from skein.functions import vectors as V
 from skein.operators import balance, evaluate, index, partition, search
 from skein.operators.handle import VectorIndex
+from skein.plans import catalogue
 
 
 def frame(spark, x, ids=None, key="vec_id"):
@@ -211,6 +212,23 @@ def test_capping_of_parts_without_rows(parts_without_rows):
     assert max(np.bincount([r["cluster_id"] for r in got])) <= 55
 
 
+def test_capped_query_with_few_different_vectors(spark, tmp_path):
+    """Fewer clusters than 12: all rows stay, the clusters are as even as they can be, and distances are those of the own centroid; no rows give none."""
+    points = np.random.default_rng(7).normal(size=(7, 64))
+    of = np.array([0] * 150 + [i % 7 for i in range(50)])
+    for name, rows in (("few", points[of]), ("none", [])):
+        frame(spark, rows).withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+    got = catalogue.QUERIES["capped_assignment"](spark, f"{tmp_path}/few").collect()
+    assert sorted(r["vec_id"] for r in got) == list(range(200))
+    size = np.bincount([r["cluster_id"] for r in got])
+    assert len(size) == 7 and max(size) <= 29
+    home = {of[r["vec_id"]]: r["cluster_id"] for r in got if not r["moved"]}
+    center = {c: points[p] for p, c in home.items()}
+    assert len(center) == 7 and all(r["moved"] == (r["cluster_id"] != home[of[r["vec_id"]]]) for r in got)
+    assert all(abs(r["dist"] - np.linalg.norm(points[of[r["vec_id"]]] - center[r["cluster_id"]])) < 1e-5 for r in got)
+    assert catalogue.QUERIES["capped_assignment"](spark, f"{tmp_path}/none").count() == 0
+
+
 def test_capping_moves_on_from_full_neighbours(spark):
     """One hot cluster whose only near neighbour fills up: rows go on over rounds, distances are those of the new centroid."""
     x = np.array([[0.001 * i, 0.0] for i in range(90)])
